@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tradewire.llm import langid
+from tradewire.llm import langid, secrets
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2,
     "op10_language_id": langid.op10,
 }
 
