@@ -16,7 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = re.compile(r"\w+")
+_ODD = re.compile("[\u0085\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
+_SPLIT = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def words(text: str) -> list[bytes]:
+    """Lower-case words as UTF-8: runs of letters and digits; ASCII and general punctuation separates."""
+    text = text.lower()
+    if not text.isascii() and _ODD.search(text):
+        text = _ODD.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_SPLIT).split()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -92,14 +101,14 @@ class WordHashes(dict):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
-def word_hashes(words: list[str], memory: WordHashes) -> np.ndarray:
+def word_hashes(words: list[bytes], memory: WordHashes) -> np.ndarray:
     return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
 
 
