@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tradewire.llm import decontam, langid, secrets
+from tradewire.llm import decontam, langid, packing, secrets
 
 QUERIES = {
     "op2_secret_scan": secrets.op2,
+    "op3_packing": packing.op3,
     "op8_benchmark_decontamination": decontam.op8,
     "op10_language_id": langid.op10,
 }
