@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tradewire.llm import decontam, langid, packing, secrets
+from tradewire.llm import decontam, langid, packing, secrets, setjoin
 
 QUERIES = {
     "op2_secret_scan": secrets.op2,
     "op3_packing": packing.op3,
+    "op4_ngram_jaccard_join": setjoin.op4,
     "op8_benchmark_decontamination": decontam.op8,
     "op10_language_id": langid.op10,
 }
