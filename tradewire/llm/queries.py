@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tradewire.llm import decontam, langid, packing, secrets, setjoin
+from tradewire.llm import decontam, langid, lattice, packing, secrets, setjoin
 
 QUERIES = {
+    "op1_lattice_likelihood": lattice.op1,
     "op2_secret_scan": secrets.op2,
     "op3_packing": packing.op3,
     "op4_ngram_jaccard_join": setjoin.op4,
