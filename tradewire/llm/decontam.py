@@ -117,7 +117,7 @@ class Items:
             if not whole.size:
                 continue
             codes = _codes_at(ids, whole, n)
-            hit = np.isin(codes, seeds)
+            hit = seeds[np.minimum(np.searchsorted(seeds, codes), seeds.size - 1)] == codes
             places: dict[int, list[int]] = defaultdict(list)
             for at, code in zip(whole[hit].tolist(), codes[hit].tolist(), strict=True):
                 for item in self.by_length[n][code]:
