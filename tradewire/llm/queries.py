@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tradewire.llm import decontam, langid, lattice, packing, secrets, setjoin
+from tradewire.llm import decontam, langid, lattice, linededup, packing, secrets, setjoin, sharding
 
 QUERIES = {
     "op1_lattice_likelihood": lattice.op1,
     "op2_secret_scan": secrets.op2,
     "op3_packing": packing.op3,
     "op4_ngram_jaccard_join": setjoin.op4,
+    "op5_line_dedup": linededup.op5,
+    "op6_extendible_sharding": sharding.op6,
     "op8_benchmark_decontamination": decontam.op8,
     "op10_language_id": langid.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_extendible_sharding": sharding.ORACLE,
+}
