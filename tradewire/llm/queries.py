@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewire.llm import decontam, langid, lattice, linededup, packing, secrets, setjoin, sharding
+from tradewire.llm import decontam, langid, lattice, linededup, packing, secrets, setjoin, sharding, vectordup
 
 QUERIES = {
     "op1_lattice_likelihood": lattice.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": setjoin.op4,
     "op5_line_dedup": linededup.op5,
     "op6_extendible_sharding": sharding.op6,
+    "op7_embedding_near_dedup": vectordup.op7,
     "op8_benchmark_decontamination": decontam.op8,
     "op10_language_id": langid.op10,
 }

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewire.llm.cells import cells, dealt, labels, paired
 from tradewire.llm.common import STEP, WordHashes, blocks, mix64, scratch, shingles, texts, word_hashes, words
 from tradewire.llm.components import components
 
@@ -96,67 +97,20 @@ def _children(rows: DataFrame, rate: float, runs: int, level: int) -> DataFrame:
     return rows.select(*([] if level == 1 else ["node"]), "rep", "sketch").mapInArrow(run, "node long, rep long")
 
 
-def _paired(rows: DataFrame, key: str, count: str, most: int) -> DataFrame:
-    """Rows once for each pair of blocks (of at most about ``most`` rows) that has theirs; column ``cell``, and ``side`` is the row's own block."""
-    parts = F.ceil(F.col(count) / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), "rep"), parts.cast("long")).cast("int")
-    rows = rows.withColumns({"parts": parts, "side": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("other", "parts")
-
-
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, key, "low", "high").sortWithinPartitions(key, "low", "high", "rep")
-
-
-def _cells(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of one cell after another; rows come sorted by (key, low, high)."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy() for c in (key, "low", "high")]
-        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        edges = [0, *change.tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            at = tuple(c[a] for c in cols)
-            if held and at != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = at
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _labels(near: np.ndarray) -> np.ndarray:
-    """The least index of each row's component, given a symmetric matrix of links."""
-    n = len(near)
-    label = np.arange(n)
-    near = near | np.eye(n, dtype=bool)
-    while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _sketch_edges(rows: DataFrame, agree: float) -> DataFrame:
     """(a, b): spanning trees of the pairs in each cell whose sketches agree in ``agree`` of their places."""
     least = math.ceil(agree * SKETCH)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
-        for cell in _cells(batches, "node"):
+        for cell in cells(batches, "node"):
             if cell.num_rows > 1:
                 sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
                 rep = cell.column("rep").to_numpy()
                 same = np.zeros((len(rep), len(rep)), np.uint8)
                 for j in range(SKETCH):
                     same += sketch[:, j, None] == sketch[None, :, j]
-                label = _labels(same >= least)
+                label = labels(same >= least)
                 moved = np.flatnonzero(label != np.arange(len(rep)))
                 out_a.append(rep[moved])
                 out_b.append(rep[label[moved]])
@@ -166,7 +120,7 @@ def _sketch_edges(rows: DataFrame, agree: float) -> DataFrame:
         if out_a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return _dealt(rows, "node").mapInArrow(run, "a long, b long")
+    return dealt(rows, "node").mapInArrow(run, "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -202,7 +156,7 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links): for each row of a cell, a tree edge to ``b`` and the linked documents counted there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _cells(batches, "grp"):
+        for cell in cells(batches, "grp"):
             rep, keep = np.unique(cell.column("rep").to_numpy(), return_index=True)
             if rep.size < 2:
                 continue
@@ -217,11 +171,11 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
             if cell.column("low")[0].as_py() != cell.column("high")[0].as_py():
                 near &= side[:, None] != side[None, :]  # pairs of one block are met in that block's own cell
             links = near @ copies
-            label = _labels(near)
+            label = labels(near)
             some = np.flatnonzero(links > 0)
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[label[some]]), pa.array(links[some].astype(np.int64))], names=["a", "b", "links"])
 
-    return _dealt(rows, "grp").mapInArrow(run, "a long, b long, links long")
+    return dealt(rows, "grp").mapInArrow(run, "a long, b long, links long")
 
 
 def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 2, bucket: int = 512, group: int = 192) -> DataFrame:
@@ -248,7 +202,7 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int =
         shared = scratch(nodes.join(counts, "node").join(reps.select("rep", "sketch"), "rep"))
         large = shared.where(F.col("n") > bucket) if level < depth else shared.where(F.lit(False))
         small = shared.where(F.col("n") <= bucket) if level < depth else shared
-        some = _sketch_edges(_paired(small, "node", "n", bucket), threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH))
+        some = _sketch_edges(paired(small, "n", bucket), threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH))
         edges = some if edges is None else edges.unionByName(some)
         if level == depth or large.isEmpty():
             break
@@ -268,7 +222,7 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int =
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in ("rep", "grp", "n", "copies")], pa.array([s.tobytes() for s in _sets(block, "text", n, memory)], pa.binary())], names=["rep", "grp", "n", "copies", "shingles"])
 
     sets = scratch(source.mapInArrow(cut, "rep long, grp long, n long, copies long, shingles binary"))
-    found = scratch(_exact(_paired(sets, "grp", "n", group), threshold))
+    found = scratch(_exact(paired(sets, "n", group), threshold))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(found.select("a", "b")).withColumnsRenamed({"node": "rep", "component": "top"})
 
