@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewire.llm.common import blocks, texts
+from tradewire.llm.common import blocks, distinct, texts
 
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -43,7 +43,7 @@ class Encoder:
     bound); the others of a block are encoded in one call and told apart by their byte lengths.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -69,25 +69,22 @@ class Encoder:
                 parts.append(None)
             else:
                 parts.append(_SAFE.split(t) if _DOUBLE.search(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" "))
-        want = set(chain.from_iterable(p[1:] for p in parts if p))
-        now = {w: self.memory[w] for w in want if w in self.memory}
-        misses = [w for w in want if w not in now]
+        now = self.memory
+        if len(now) > self.most:
+            now.clear()
+        misses = list(set(chain.from_iterable(p[1:] for p in parts if p)).difference(now))
         plain = [w for w in misses if not w[-1:].isspace()]
         if plain:
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in plain])
             cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            at = 0
-            for w, to in zip(plain, cuts.tolist(), strict=True):
-                now[w] = ids[at:to].tobytes()
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(plain, (cuts * 4).tolist(), strict=True):
+                now[w] = raw[at:to]
                 at = to
         for w in misses:
             if w not in now:
                 now[w] = self._ids(" " + w)
-        if len(self.memory) + len(misses) > self.most:
-            self.memory = dict(now) if len(now) <= self.most else {}
-        else:
-            self.memory.update((w, now[w]) for w in misses)
         out = []
         for t, p in zip(many, parts, strict=True):
             raw = self._ids(t) if p is None else self._ids(p[0]) + b"".join(map(now.__getitem__, p[1:])) if t else b""
@@ -102,13 +99,13 @@ def cuts(ends: np.ndarray, sentences: np.ndarray, size: int, sentence_cost: floa
     positions inside a sentence are added.
     """
     total = int(ends[-1])
-    at = np.unique(np.concatenate(([0], sentences, ends)))
+    at = distinct(np.concatenate(([0], sentences, ends)))
     wide = np.flatnonzero(np.diff(at) > size // 2)
     if wide.size:
-        at = np.unique(np.concatenate([at, *[np.arange(at[i] + size // 8, at[i + 1], size // 8) for i in wide]]))
+        at = distinct(np.concatenate([at, *[np.arange(at[i] + size // 8, at[i + 1], size // 8) for i in wide]]))
     cost = np.full(at.size, inside_cost)
-    cost[np.isin(at, sentences)] = sentence_cost
-    cost[np.isin(at, ends)] = 0.0
+    cost[np.searchsorted(at, sentences)] = sentence_cost
+    cost[np.searchsorted(at, ends)] = 0.0
     cost[0] = 0.0
     exact: dict[int, list[int]] = {}
     k = 1
@@ -177,7 +174,7 @@ def pack(
             ends = np.cumsum([len(h) for h in held])
             sentence = np.flatnonzero(encoder.closes[stream[:-1]] & encoder.opens[stream[1:]] & ~encoder.breaks[stream[1:]] | encoder.breaks[stream[:-1]]) + 1
             chosen = np.array(cuts(ends, sentence, size, sentence_cost, inside_cost, sequence_cost))
-            edges = np.unique(np.concatenate(([0], chosen, ends)))
+            edges = distinct(np.concatenate(([0], chosen, ends)))
             a, b = edges[:-1], edges[1:]
             doc = np.searchsorted(ends, a, side="right")
             seq = np.searchsorted(chosen, a, side="right")
