@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewire.llm import decontam, langid, lattice, linededup, packing, secrets, setjoin, sharding, vectordup
+from tradewire.llm import decontam, langid, lattice, linededup, packing, secrets, setjoin, sharding, suffixdup, vectordup
 
 QUERIES = {
     "op1_lattice_likelihood": lattice.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_extendible_sharding": sharding.op6,
     "op7_embedding_near_dedup": vectordup.op7,
     "op8_benchmark_decontamination": decontam.op8,
+    "op9_suffix_dedup": suffixdup.op9,
     "op10_language_id": langid.op10,
 }
 
