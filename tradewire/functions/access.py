@@ -62,19 +62,15 @@ def required_component(seg: Column, n: int, c: int) -> Column:
     return F.struct(v.alias("value"), wrong.otherwise(no_error()).alias("error"))
 
 
-def code_element(seg: Column, n: int, kind: str) -> Column:
-    """Struct of the parsed value and error: E008 where absent, E003 where it is no ``kind``."""
+def code_element(seg: Column, n: int, kind: str, offset: Column | None = None) -> Column:
+    """Struct of the parsed value and error: E008 where absent, E003 (at ``offset``) where it is no ``kind``."""
     v = optional(seg, n)
     parsed = v.try_cast(kind)
-    offset = element(seg, n)["span"]["start"] if _has_spans(seg) else F.lit(0).cast("long")
-    wrong = F.when(v.isNull(), error("E008", tag=seg["tag"], element_index=n)).when(parsed.isNull(), error("E003", offset=offset, tag=seg["tag"], element_index=n))
+    at = F.lit(0).cast("long") if offset is None else offset
+    wrong = F.when(v.isNull(), error("E008", tag=seg["tag"], element_index=n)).when(parsed.isNull(), error("E003", offset=at, tag=seg["tag"], element_index=n))
     return F.struct(parsed.alias("value"), wrong.otherwise(no_error()).alias("error"))
 
 
-def _has_spans(seg: Column) -> bool:
-    return getattr(seg, "_edi_spans", False)
-
-
 def repeating_components(seg: Column, n: int, start: int, count: int) -> Column:
     """Struct of ``count`` components from ``start`` and the first error among them."""
     each = [required_component(seg, n, start + i) for i in range(count)]
