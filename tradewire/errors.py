@@ -67,32 +67,31 @@ def text(code: str, **values: object) -> str:
 
 
 def message(code: str, **values: Column | str | int) -> Column:
-    """The message template filled with Columns."""
-    parts, rest = [], CATALOGUE[code][1]
+    """The message template filled with values and Columns; a null Column is the empty text."""
+    form, columns, rest = "", [], CATALOGUE[code][1]
     while "{" in rest:
         before, _, rest = rest.partition("{")
         name, _, rest = rest.partition("}")
-        v = values[name]
-        parts += [F.lit(before), (v if isinstance(v, Column) else F.lit(v)).cast("string")]
-    parts.append(F.lit(rest))
-    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+        form += before.replace("%", "%%")
+        if isinstance(values[name], Column):
+            form += "%s"
+            columns.append(F.coalesce(values[name].cast("string"), F.lit("")))
+        else:
+            form += str(values[name]).replace("%", "%%")
+    form += rest.replace("%", "%%")
+    return F.format_string(form, *columns) if columns else F.lit(form.replace("%%", "%"))
 
 
-def error(code: str, *, offset: Column | None = None, tag: Column | str | None = None, element_index: Column | int | None = None, component_index: Column | int | None = None, **values: Column | str | int) -> Column:
+_DDL = "struct<code:string,message:string,offset:bigint,tag:string,element_index:int,component_index:int>"
+
+
+def error(code: str, *, offset: Column | int | None = None, tag: Column | str | None = None, element_index: Column | int | None = None, component_index: Column | int | None = None, **values: Column | str | int) -> Column:
     """An error struct; the location fields also fill the message template."""
     own = {"offset": offset, "tag": tag, "element_index": element_index, "component_index": component_index}
     filled = values | {k: v for k, v in own.items() if v is not None}
-    as_column = lambda v, kind: (v if isinstance(v, Column) else F.lit(v)).cast(kind)
-    return F.struct(
-        F.lit(code).alias("code"),
-        message(code, **filled).alias("message"),
-        as_column(offset, "long").alias("offset"),
-        as_column(tag, "string").alias("tag"),
-        as_column(element_index, "int").alias("element_index"),
-        as_column(component_index, "int").alias("component_index"),
-    )
-
+    fields = [v if isinstance(v, Column) else F.lit(v) for v in own.values()]
+    return F.struct(F.lit(code), message(code, **filled), *fields).cast(_DDL)
 
 
 def no_error() -> Column:
-    return F.lit(None).cast(ERROR)
+    return F.lit(None).cast(_DDL)

@@ -42,21 +42,22 @@ ADD_HINT = "Add the mandatory segment at the correct position"
 ORDER_HINT = "Ensure required segments follow UN/EDIFACT canonical order"
 
 
+_DDL = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in ISSUE.fields) + ">"
+
+
 def issue(severity: str | Column, message: str | Column, **fields: object) -> Column:
-    """An issue struct; fields are those of ISSUE, each a value or a Column."""
+    """An issue struct; fields are those of ISSUE, each a value or a Column. Indices stop at 255."""
     given = {"severity": severity, "message": message} | fields
     unknown = set(given) - set(ISSUE.names)
     if unknown:
         raise ValueError(f"no such fields of an issue: {sorted(unknown)}")
-    column = lambda v: v if isinstance(v, Column) else F.lit(v)
     out = []
     for f in ISSUE.fields:
-        v = column(given.get(f.name)).cast(f.dataType)
-        if f.name in ("element_index", "component_index"):
-            v = F.least(v, F.lit(255))
-            v = F.when(column(given.get(f.name)).cast(f.dataType).isNotNull(), v)
-        out.append(v.alias(f.name))
-    return F.struct(*out)
+        v = given.get(f.name)
+        if f.name in ("element_index", "component_index") and v is not None:
+            v = F.when(v > 255, 255).otherwise(v) if isinstance(v, Column) else min(v, 255)
+        out.append(v if isinstance(v, Column) else F.lit(v))
+    return F.struct(*out).cast(_DDL)
 
 
 def issue_of(err: Column, suggestion: Column | None = None) -> Column:
@@ -229,11 +230,11 @@ class RulePack:
 
     def issues(self, segments: Column, message_type: Column, spans: bool) -> Column:
         if not self.rules:
-            return F.array().cast(T.ArrayType(ISSUE))
-        found = F.filter(F.array(*[r(segments).cast(ISSUE) for r in self.rules]), lambda x: x.isNotNull())
+            return F.array().cast(f"array<{_DDL}>")
+        found = F.filter(F.array(*[r(segments) for r in self.rules]), lambda x: x.isNotNull())
         if not self.message_types:
             return found
-        return F.when(F.coalesce(message_type.isin(*self.message_types), F.lit(False)), found).otherwise(F.array().cast(T.ArrayType(ISSUE)))
+        return F.when(F.coalesce(message_type.isin(*self.message_types), F.lit(False)), found).otherwise(F.array().cast(f"array<{_DDL}>"))
 
 
 LAYERS = ("structure", "code_list", "profile")
