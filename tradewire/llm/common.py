@@ -145,3 +145,20 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 def with_fields(schema: T.StructType, *more: T.StructField) -> T.StructType:
     return T.StructType([*schema.fields, *more])
+
+
+class Bitmap:
+    """Marks of 64-bit hashes in 2**bits places, whatever their number: never misses one that was put in."""
+
+    def __init__(self, rows: DataFrame, column: str, bits: int = 26):
+        place = F.shiftrightunsigned(column, 64 - bits)
+        mask = F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 AS int)))")
+        found = rows.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(mask.alias("mask")).toPandas()  # at most 2**(bits - 6) rows
+        self.bits = bits
+        self.words = np.zeros(1 << (bits - 6), np.uint64)
+        self.words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Whether each hash (uint64) is marked."""
+        at = h >> np.uint64(64 - self.bits)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewire.llm.cells import cells, dealt, labels, paired
-from tradewire.llm.common import STEP, WordHashes, blocks, mix64, scratch, shingles, texts, word_hashes, words
+from tradewire.llm.common import STEP, Bitmap, WordHashes, blocks, mix64, scratch, shingles, texts, word_hashes, words
 from tradewire.llm.components import components
 
 SKETCH = 64
@@ -178,6 +178,17 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt(rows, "grp").mapInArrow(run, "a long, b long, links long")
 
 
+def _only(rows: DataFrame, marks: Bitmap) -> DataFrame:
+    """The rows whose ``text_hash`` is marked: a join with the marked hashes need not move the others."""
+    shared = rows.sparkSession.sparkContext.broadcast(marks)  # of fixed size
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.holds(batch.column("text_hash").to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 2, bucket: int = 512, group: int = 192) -> DataFrame:
     """(uid, doc_id, text_hash, class_id, n_links, n_copies, kept) of each row of ``df``.
 
@@ -212,8 +223,9 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int =
     # The shingles of the candidates only: their texts are found again by id and hash.
     size = groups.groupBy("grp").agg(F.count("*").alias("n"))
     wanted = groups.join(size, "grp").join(reps.select("rep", "copies"), "rep")
-    wanted = wanted.join(rows.select(F.col("uid").alias("rep"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "rep")
+    wanted = scratch(wanted.join(rows.select(F.col("uid").alias("rep"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "rep"))
     source = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    source = _only(source, Bitmap(wanted, "__hash"))
     source = source.join(wanted, source["doc_id"].eqNullSafe(wanted["__id"]) & (source["text_hash"] == wanted["__hash"])).select("rep", "grp", "n", "copies", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
