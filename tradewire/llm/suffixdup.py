@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import MIX1, STEP, blocks, mix64, scratch
+from tradewire.llm.common import MIX1, STEP, Bitmap, blocks, mix64, scratch
 
 GRAM = 96  # 64 + 32
 PIECE = 4_000_000
@@ -264,11 +264,7 @@ def repeats(df: DataFrame, *, text: str = "text", least: int = 200, bits: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
 
     twice = body.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    place = F.shiftrightunsigned("h", 64 - bits)
-    words = twice.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 AS int)))").alias("mask")).toPandas()  # at most 2**(bits - 6) rows
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = spark.sparkContext.broadcast(Bitmap(twice, "h", bits))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -280,10 +276,8 @@ def repeats(df: DataFrame, *, text: str = "text", least: int = 200, bits: int =
                 t1, t2 = np.frombuffer(xxhash.xxh128_digest(raw), np.int64).tolist()
                 for base, part in pieces(raw, least):
                     h, at, first = owners(part, least)
-                    bit = h >> np.uint64(64 - bits)
-                    marked = (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
                     end = np.append(first[1:], len(part) - least + 1)
-                    for i in np.flatnonzero(marked).tolist():
+                    for i in np.flatnonzero(shared.value.holds(h)).tolist():
                         a = int(first[i])
                         span = part[a : int(end[i]) - 1 + least]
                         d = xxhash.xxh128_digest(span)
