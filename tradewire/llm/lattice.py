@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, int], logs: np.ndarray):
         """logs: (pieces + 256, k); the last 256 rows are the bytes'."""
-        self.pieces, self.logs = pieces, logs
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.pieces, self.logs, self.made = pieces, logs, None
+        self.uniform = bool((logs == logs[:, :1]).all())
 
     @classmethod
     def from_vocabulary(cls, path: str, k: int = 1) -> Lattice:
@@ -74,40 +75,54 @@ class Lattice:
         if group:
             yield group
 
+    def _automaton(self):
+        """Matcher of all pieces, and the basic plane's characters that are pieces; made once a process."""
+        if self.made is None:
+            import ahocorasick
+
+            matcher = ahocorasick.Automaton()
+            for p, i in self.pieces.items():
+                matcher.add_word(p, i)
+            matcher.make_automaton()
+            single = np.zeros(0x110000, bool)
+            single[[ord(p) for p in self.pieces if len(p) == 1]] = True
+            single[32] = True  # stands between words
+            sizes = np.zeros(len(self.pieces), np.int64)
+            sizes[list(self.pieces.values())] = [len(p) for p in self.pieces]
+            self.made = matcher, single, sizes
+        return self.made
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
     def arcs(self, found: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(word, start, end, piece) of every arc, and the characters that only bytes can spell (pieces from -1 down)."""
-        word: list[int] = []
-        start: list[int] = []
-        end: list[int] = []
-        piece: list[int] = []
+        """(word, start, end, piece) of every arc, the words' sizes, and the characters that only bytes can spell (pieces from -1 down)."""
+        matcher, single, sizes = self._automaton()
+        texts = [raw.decode("utf-8", "surrogatepass") for raw in found]
+        marked = [i for i, t in enumerate(texts) if MARK in t or " " in t]
+        held = {i: texts[i] for i in marked}
+        for i in marked:  # the mark within a word is an ordinary character, which no piece has
+            texts[i] = texts[i].replace(MARK, "\0").replace(" ", "\1")
+        line = MARK + (" " + MARK).join(texts)
+        size = np.array([len(t) + 1 for t in texts])
+        begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+        flat = np.fromiter(chain.from_iterable(matcher.iter(line)), np.int64).reshape(-1, 2)
+        last, piece = flat[:, 0], flat[:, 1]
+        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lone = np.flatnonzero(~single[code])
         spelt: dict[str, int] = {}
-        size = np.zeros(len(found), np.int64)
-        pieces, prefixes = self.pieces, self.prefixes
-        for w, raw in enumerate(found):
-            s = MARK + raw.decode("utf-8", "surrogatepass")
-            n = size[w] = len(s)
-            for i in range(n):
-                j = i + 1
-                p = s[i]
-                if p not in pieces or (p == MARK and i):
-                    word.append(w)
-                    start.append(i)
-                    end.append(j)
-                    piece.append(-1 - spelt.setdefault(p, len(spelt)))
-                    if p == MARK and i:
-                        continue
-                while p in prefixes:
-                    v = pieces.get(p)
-                    if v is not None:
-                        word.append(w)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(v)
-                    j += 1
-                    if j > n:
-                        break
-                    p = s[i:j]
-        return np.array(word), np.array(start), np.array(end), np.array(piece), size, list(spelt)
+        own = []
+        for at in lone.tolist():
+            c = line[at]
+            if held and c in "\0\1":
+                w = int(np.searchsorted(begin, at, side="right")) - 1
+                c = held[w][at - int(begin[w]) - 1] if w in held else c
+            own.append(-1 - spelt.setdefault(c, len(spelt)))
+        end = np.concatenate((last, lone)) + 1
+        start = np.concatenate((last + 1 - sizes[piece], lone))
+        piece = np.concatenate((piece, np.array(own, np.int64)))
+        word = np.searchsorted(begin, start, side="right") - 1
+        return word, start - begin[word], end - begin[word], piece, size, list(spelt)
 
     def _values(self, piece: np.ndarray, spelt: list[str]) -> np.ndarray:
         out = self.logs[np.maximum(piece, 0)]
@@ -119,7 +134,7 @@ class Lattice:
 
     def _recur(self, word: np.ndarray, near: np.ndarray, far: np.ndarray, values: np.ndarray, state: np.ndarray, back: bool) -> None:
         """Fill ``state`` (words, positions, k) along the arcs: state[far] from state[near], by the log of sums."""
-        order = np.lexsort((word, far))
+        order = np.argsort(far * (int(word.max()) + 1) + word, kind="stable")
         w, a, b = word[order], near[order], far[order]
         edges = np.flatnonzero(np.diff(b)) + 1
         spans = list(zip([0, *edges.tolist()], [*edges.tolist(), len(b)], strict=True))
@@ -146,7 +161,9 @@ class Lattice:
         for group in self.batches(found):
             word, start, end, piece, size, spelt = self.arcs([found[i] for i in group])
             values = self._values(piece, spelt)
-            ahead = np.zeros((len(group), int(size.max()) + 1, counts.shape[1]))
+            if self.uniform:  # all labels alike: once is enough
+                values = values[:, :1]
+            ahead = np.zeros((len(group), int(size.max()) + 1, values.shape[1]))
             behind = np.zeros_like(ahead)
             self._recur(word, start, end, values, ahead, False)
             self._recur(word, end, start, values, behind, True)
@@ -187,6 +204,16 @@ def _counts(df: DataFrame, labels: list[str], most: int = 250_000) -> DataFrame:
     return scratch(rows.groupBy("word").agg(F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("c"), F.sum("n").alias("n_all"), F.array(*by).alias("by_label")))
 
 
+def _grid(column: pa.Array, k: int) -> np.ndarray:
+    """The rows' lists of k numbers as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+
+
+def _lists(grid: np.ndarray) -> pa.Array:
+    n, k = grid.shape
+    return pa.ListArray.from_arrays(np.arange(0, (n + 1) * k, k, dtype=np.int32), np.ascontiguousarray(grid).ravel())
+
+
 def _reestimated(table: DataFrame, lattice: Lattice) -> Lattice:
     """Piece probabilities by label from one expectation over the distinct training words, smoothed by those of all labels."""
     k = lattice.logs.shape[1]
@@ -197,7 +224,7 @@ def _reestimated(table: DataFrame, lattice: Lattice) -> Lattice:
         for batch in batches:
             found = batch.column("word").to_pylist()
             if found:
-                shared.value.expect(found, np.array(batch.column("by_label").to_pylist(), float) > 0, total)
+                shared.value.expect(found, _grid(batch.column("by_label"), k) > 0, total)
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[at, i]) for i in range(k)]], names=["piece", *[f"n{i}" for i in range(k)]])
 
@@ -235,13 +262,13 @@ def score(df: DataFrame, vocabulary: str, train: Column, *, doc_id: str = "doc_i
         for batch in batches:
             found = batch.column("word").to_pylist()
             c = batch.column("c").to_numpy().astype(float)
-            by = np.array(batch.column("by_label").to_pylist(), float).reshape(len(found), k)
+            by = _grid(batch.column("by_label"), k)
             sub = shared.value.score(found) + inside
             sub[[i for i, w in enumerate(found) if not w]] = end
             with np.errstate(divide="ignore"):
                 backed = np.logaddexp(np.log(c)[:, None], math.log(once) + sub) - math.log(N + once)
                 each = (np.logaddexp(np.log(by), np.log(once_k) + backed) - np.log(Nk + once_k)) / LOG10
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("n_all"), pa.array(list(each), pa.list_(pa.float64()))], names=["word", "c", "n_all", "logs"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("n_all"), _lists(each)], names=["word", "c", "n_all", "logs"])
 
     table = scratch(table.mapInArrow(logs, "word binary, c long, n_all long, logs array<double>"))
     step = F.floor(F.log2("n_all") * 4)
@@ -279,7 +306,7 @@ def score(df: DataFrame, vocabulary: str, train: Column, *, doc_id: str = "doc_i
             kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             rare_array = pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("doc_id"), batch.column("train"), pa.array(n_tokens, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(list(sums[:, 2:]), pa.list_(pa.float64())), rare_array],
+                [batch.column("uid"), batch.column("doc_id"), batch.column("train"), pa.array(n_tokens, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), _lists(sums[:, 2:]), rare_array],
                 names=["uid", "doc_id", "train", "n_tokens", "n_known", "base", "logs", "rare"],
             )
 
