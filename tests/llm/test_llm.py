@@ -1,0 +1,346 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy; hostile cases."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tradewire.llm import components, decontam, langid, lattice, linededup, packing, secrets, setjoin, sharding, suffixdup, vectordup
+from tradewire.llm.common import WordHashes, crc_mod, shingles, word_hashes, words
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid long, rep long, key string"
+LOREM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def table(spark, rows):
+    """rows of (doc_id, text, lang, source), with further columns whose names operators use themselves."""
+    return spark.createDataFrame([(*r, 0, 1, 2, "x") for r in rows], DOCS)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(LOREM) + str(rng.randint(0, 60)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def hostile(spark):
+    rng = random.Random(11)
+    long_ = prose(rng, 6000)
+    body = [prose(rng, 60) for _ in range(6)]
+    near = body[0].split()
+    near[30] = "changed"
+    rows = [(1, body[0], "a", "s"), (1, body[0], "a", "s"), (2, body[0], "b", None), (3, " ".join(near), None, "t"), (4, None, "a", "s"), (5, "", "a", "s"), (6, long_, "a", "s"), (7, long_ + " tail", "b", "t"), (None, body[1], "a", "s"), (None, body[2], "b", "s"), (8, "one", "a", "s"), (9, "é" * 3000, "b", "s"), (10, "...", "a", "s")]
+    return table(spark, rows), rows
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+def jaccard_links(texts):
+    m = WordHashes()
+    sets = [set(shingles(word_hashes(words(t or ""), m), 5).tolist()) for t in texts]
+    return [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) / len(a | b) >= 0.8 - 1e-12] for i, a in enumerate(sets)]
+
+
+def test_jaccard_join(spark, hostile, empty, sf):
+    df, rows = hostile
+    got = setjoin.join(df, bucket=2, group=2).collect()
+    want = collections.Counter((r[0], len(x)) for r, x in zip(rows, jaccard_links([r[1] for r in rows]), strict=True))
+    assert collections.Counter((r.doc_id, r.n_links) for r in got) == want
+    assert {r.class_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    kept = [r.doc_id for r in setjoin.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([1, 4, 5, 6, None, None, 8, 9, 10], key=str)
+    assert setjoin.join(empty).count() == 0 and setjoin.keep_one(empty).columns == empty.columns
+
+
+def test_jaccard_join_on_documents(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = df.orderBy("doc_id").collect()
+    got = {r.doc_id: r.n_links for r in setjoin.op4(spark, sf).collect()}
+    assert [got[d.doc_id] for d in docs] == [len(x) for x in jaccard_links([d.text for d in docs])]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(200, 201 + i) for i in range(30)]
+    up = {}
+    find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def base_spans(t):
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, "assign", m.end()) for m in pattern.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_secrets(spark, empty):
+    rng = random.Random(5)
+    bits = ["token", "PassWord", "api_key", "apikey", "=", ": ", '"', "'", " ", "é", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "abcdef", "x9Y8z7W6v5U4t3S2r1Q0p9", "\n"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 25))), "a", f"s{i % 3}") for i in range(300)] + [(900, None, "a", None), (901, "", None, "s"), (902, "token=secret:AAAAAAAAAAAAAA", "a", "s"), (903, "é token = 0123456789abcdef ", "a", "s"), (903, "é token = 0123456789abcdef ", "a", "s")]
+    got = secrets.scan(table(spark, rows)).documents.collect()
+    want = collections.Counter((r[0], hashlib.sha256(base_spans(r[1] or "").encode()).hexdigest()) for r in rows)
+    assert collections.Counter((r.doc_id, r.base_sha256) for r in got) == want
+    for r in got:
+        assert r.n_assign + r.n_access + r.n_hex == len([s for s in r.spans.split(",") if s and not s.startswith("owned")])
+    assert secrets.scan(empty).documents.count() == 0
+
+
+def test_widely_copied_secrets_stay(spark):
+    live, copied = "deadbeefdeadbeef01", "0123456789abcdef0123"
+    rows = [(i, f"password={copied} ok", "a", f"s{i}") for i in range(5)] + [(7, f"x {live} y password={copied}", "a", "s9"), (8, None, "a", "s")]
+    out = {r.doc_id: r.text for r in secrets.redact(table(spark, rows)).collect()}
+    assert out[7] == f"x [SECRET] y password={copied}" and out[0] == rows[0][1] and out[8] is None and len(out) == 7
+
+
+def test_packing(spark, hostile, empty):
+    from tokenizers import Tokenizer
+
+    df, rows = hostile
+    path = packing.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    for size in (2048, 64):
+        got = packing.pack(df, path, size=size, block_tokens=5000, ids_too=True).collect()
+        seqs = collections.defaultdict(list)
+        for r in got:
+            seqs[r.sequence_id].append(r)
+            assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+        for s in seqs.values():
+            s.sort(key=lambda r: r.offset)
+            assert [r.offset for r in s] == [sum(x.length for x in s[:i]) for i in range(len(s))] and sum(r.length for r in s) <= size
+        ids = [tok.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in rows]
+        assert sum(r.length for r in got) == sum(map(len, ids))
+        for key in (3, 6, 9, 4):
+            mine = sorted((r for r in got if r.doc_id == key), key=lambda r: r.start)
+            assert list(itertools.chain(*[r.ids for r in mine])) == ids[[r[0] for r in rows].index(key)]
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, mine, rng = Tokenizer.from_file(path), packing.Encoder(path, most=50), random.Random(1)
+    for _ in range(1500):
+        t = "".join(rng.choice(["a", "bc", " ", "  ", "\n", " \n", "\t", "é", "'s", "12", ".", " ' ", "　", "😀", "<|endoftext|>", "Z"]) for _ in range(rng.randint(0, 12)))
+        assert mine.encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_cuts_are_optimal():
+    rng = random.Random(4)
+    for _ in range(40):
+        size = 16
+        n = rng.randint(1, 6)
+        ends = np.cumsum([rng.randint(1, 9) for _ in range(n)])
+        total = int(ends[-1])
+        sentences = np.array(sorted(rng.sample(range(1, total), min(total - 1, 6)))) if total > 1 else np.zeros(0, int)
+        got = packing.cuts(ends, sentences, size, 3.0, 9.0, 1.0)
+        places = sorted({*ends.tolist(), *sentences.tolist()})
+
+        def cost(chosen, ends=ends):
+            out, at = 0.0, 0
+            for c in chosen:
+                w = c - at
+                if w > size:
+                    return math.inf
+                out += 1.0 + (0 if w & (w - 1) == 0 else size - w) + (0 if c in ends else 3.0)
+                at = c
+            return out
+
+        best = min(cost([*x, total]) for k in range(len(places)) for x in itertools.combinations([p for p in places if p < total], k))
+        if max(np.diff([0, *places])) <= size // 2:
+            assert cost(got) == pytest.approx(best)
+
+
+def test_lattice_sums_over_segmentations():
+    import public_tokenizers
+
+    m = lattice.Lattice.from_vocabulary(public_tokenizers.path("piece_bpe_32k.model"), 2)
+
+    def total(s):
+        if not s:
+            return 1.0
+        out = 0.0
+        for k in range(1, len(s) + 1):
+            p = s[:k]
+            if p in m.pieces:
+                out += math.exp(m.logs[m.pieces[p], 0]) * total(s[k:])
+            elif k == 1:
+                out += math.exp(sum(m.logs[len(m.pieces) + b, 0] for b in p.encode())) * total(s[1:])
+        return out
+
+    found = [w.encode() for w in ("the", "naïve", "zq日x", "tokenizer")]
+    assert np.allclose(np.exp(m.score(found)[:, 0]), [total("▁" + w.decode()) for w in found], rtol=1e-9)
+    counts = np.zeros_like(m.logs)
+    m.expect([b"the"], np.ones((1, 2)), counts)
+    assert 1 <= counts[:, 0].sum() <= 4
+
+
+def test_scores(spark, sf, hostile, empty):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = df.collect()
+    seen = collections.Counter()
+    for d in docs:
+        if zlib.crc32(str(d.doc_id).encode()) % 7 != 2:
+            seen.update([*d.text.encode().lower().split(), b""])
+    n, v = sum(seen.values()), len(seen)
+    few = lattice.score(df, path, crc_mod("doc_id", 7) != 2, broadcast_words=100, rounds=1)
+    got = {r.doc_id: r for r in few.collect()}
+    for d in docs:
+        w = [*d.text.encode().lower().split(), b""]
+        r = got[d.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(seen[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w))
+        assert -1e7 < r.score < 0
+    assert lattice.score(hostile[0], path, F.lit(True), rounds=1).count() == 13
+    assert lattice.score(empty, path, F.lit(True)).count() == 0
+    assert lattice.score(hostile[0], path, F.lit(False)).where("score < 0").count() == 13
+
+
+def test_language(spark, empty):
+    rng = random.Random(8)
+    en, de = "the and of water people which their house".split(), "der und die nicht straße häuser schön auch".split()
+    rows = [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(rng.randint(3, 30))), "en" if i % 2 else "de", "s") for i in range(400)]
+    df = table(spark, rows + [(900, None, "en", "s"), (901, "", None, "s"), (902, "123 !?", "de", "s"), (903, "日本語 🙂", None, "s"), (904, "the " * 300_000, None, "s")])
+    model = langid.fit(df.where(crc_mod("doc_id", 5) != 0))
+    got = {r.doc_id: r for r in model.transform(df).collect()}
+    assert sum(got[r[0]].lang_pred == r[2] for r in rows) >= 396
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (900, 901, 902))
+    assert got[904].lang_pred == "en" and all(0 <= r.score <= 1 for r in got.values())
+    none = langid.fit(empty)
+    assert none.transform(df).where("lang_pred <> 'und'").count() == 0 and model.transform(empty).count() == 0
+
+
+def test_tiling():
+    item, doc = list(range(1, 21)), [*range(11, 21), -1, 99, *range(1, 11), 5, 6, 7, 8, 9]
+    assert sorted(decontam.tiles(item, doc, 5)) == [(0, 12, 10), (10, 0, 10)]
+    assert decontam.tiles(item, [1, 2, 3, 4], 5) == [] and decontam.tiles([1, 2], [5, 1, 2], 5) == [(0, 1, 2)]
+
+
+def test_decontamination(spark, empty):
+    rng = random.Random(9)
+    items = [(i, prose(rng, 40)) for i in range(30)] + [(90, None), (91, "..."), (92, "tiny item")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    halves = items[3][1].split()
+    moved = " ".join(halves[20:] + ["filler"] + halves[:20])
+    rows = [(i, prose(rng, 80), "a", "s") for i in range(50)] + [(100, f"{prose(rng, 30)} {items[7][1].upper()}! {prose(rng, 9)}", "a", "s"), (101, moved, "a", "s"), (102, None, "a", "s"), (103, " ".join(halves[:12]), "a", "s"), (104, "a tiny, item.", "a", "s"), (104, "a tiny, item.", "a", "s")]
+    df = table(spark, rows)
+    for size in (8_000_000, 300):  # the benchmark in one block and in many
+        got = collections.Counter((r.doc_id, r.item_id) for r in decontam.matches(df, bench, block_bytes=size).collect())
+        assert got == {(100, 7): 1, (101, 3): 1, (104, 92): 2}
+    left = decontam.decontaminate(df, bench, block_bytes=300)
+    assert left.columns == df.columns and left.count() == len(rows) - 4
+    assert decontam.matches(empty, bench).count() == 0 and decontam.matches(df, bench.limit(0)).count() == 0
+
+
+def test_lines(spark, hostile, empty):
+    rows = [(2, "a b c d e\nkeep this\nA  b c d e", "a", "s"), (1, "x\na b c d e", "a", "s"), (3, None, "a", "s"), (4, "one two three four five\n", "a", "s"), (5, "ONE two three four five", "a", "s"), (5, "ONE two three four five", "a", "s")]
+    got = collections.defaultdict(list)
+    for r in linededup.dedup(table(spark, rows)).collect():
+        got[r.doc_id].append((r.kept_text, [tuple(x) for x in r.removed]))
+        for a, b in r.removed:
+            assert linededup._BLANKS.sub(" ", r.text[a:b]).count(" ") >= 4
+    assert got[1] == [("x\na b c d e", [])] and got[2] == [("keep this", [(0, 9), (20, 30)])]
+    assert got[3] == [("", [])] and got[4][0][1] == [] and [x[0] for x in got[5]] == ["", ""]
+    assert linededup.dedup(hostile[0]).count() == 13 and linededup.dedup(empty).count() == 0
+    assert linededup.dedup(table(spark, [(1, "a b c d e\n\nf", "a", "s"), (2, "g\n \na b c d e", "a", "s")]), unit="paragraph").where("kept_text = 'g'").count() == 1
+
+
+def test_shards(spark, hostile, empty):
+    df, rows = hostile
+    big = df.union(df).union(df)
+    for limit in (2000, 100_000):
+        out = sharding.assign(big, limit, step=5).toPandas()
+        g = out.groupby("shard").agg(b=("n_bytes", "sum"), n=("n_bytes", "size"))
+        assert len(out) == 3 * len(rows) and ((g.b <= limit) | (g.n == 1)).all()
+        names = sorted(g.index)
+        assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))
+    assert sharding.assign(empty, 100).count() == 0
+
+
+def test_shards_agree_with_sql(spark, sf, duck):
+    from conftest import same_rows
+
+    same_rows(sharding.op6(spark, sf), duck, sharding.ORACLE)
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 16)) * 0.12, base[:5], base[:3] * 7, np.repeat(base[:1], 30, 0) + rng.normal(size=(30, 16)) * 0.02]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(500, None, 0), (501, [0.0] * 16, 0), (502, [1.0, None] * 8, 0), (503, [float("nan")] * 16, 0), (504, [float("inf")] * 16, 0), (505, [], 0), (506, [1.0] * 4, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in vectordup.near(df, bucket=8).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    assert sum(got[i].n_links for i in range(len(x))) >= 0.99 * close.sum()
+    assert all(got[i].n_links <= close[i].sum() for i in range(len(x)))
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 507)) and got[60].component_id == 0
+    assert vectordup.near(df.limit(0)).count() == 0
+
+
+def repeats_by_hand(texts, least):
+    seen = collections.Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - least + 1):
+            if seen[t[i : i + least]] > 1:
+                gone[i : i + least] = b"\1" * least
+        out.append(bytes(b for b, g in zip(t, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("cell", [2, 1000])
+def test_suffix_dedup(spark, cell):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdé ") for _ in range(500))
+    texts = [shared[rng.randint(0, 200) : rng.randint(300, 500)] + "".join(rng.choice("xyz") for _ in range(60)) for _ in range(25)] + ["ab" * 400, shared, shared, None, "", "q" * 199, "r" * 201]
+    rows = [(i, t, "a", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: bytes(r.kept) for r in suffixdup.dedup(table(spark, rows), cell=cell).collect()}
+    want = repeats_by_hand([(t or "").encode() for t in texts], 200)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_suffix_dedup_hostile(spark, hostile, empty):
+    df, rows = hostile
+    got = collections.Counter((r.doc_id, bytes(r.kept)) for r in suffixdup.dedup(df).collect())
+    assert got == collections.Counter(zip([r[0] for r in rows], repeats_by_hand([(r[1] or "").encode() for r in rows], 200), strict=True))
+    assert suffixdup.dedup(empty).count() == 0
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    out = P.run(spark, sf).select("doc_id", "doc_tokens").distinct().collect()
+    left = {r.doc_id for r in out}
+    links = jaccard_links([r.text for r in rows])
+    bench = [words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    holds = {r.doc_id for r in rows for b in bench if any(words(r.text)[i : i + len(b)] == b for i in range(len(words(r.text))))}
+    assert left.isdisjoint(holds)
+    for i, x in enumerate(links):
+        assert not (rows[i].doc_id in left and any(rows[j].doc_id in left for j in x))
+    alone = {rows[i].doc_id for i, x in enumerate(links) if not x} - holds
+    assert len(alone - left) <= 0.02 * len(alone)
+    assert [n for n, _ in P.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "packing"] and P.ORACLE_SQL is None
