@@ -25,6 +25,7 @@ CASES = [
     ("FTX+a\r\nb'", [("FTX", [["a\r\nb"]])], None),
     ("UNH+1'BGM+2", [("UNH", [["1"]])], "E001"),
     ("UNH+1'BGM+2?", [("UNH", [["1"]])], "E019"),
+    ("UNH+1'FTX+a?'b", [("UNH", [["1"]])], "E001"),
     ("UNH+1'BGM+2??", [("UNH", [["1"]])], "E001"),
     ("UNH+1'bgm+2'UNT'", [("UNH", [["1"]])], "E006"),
     ("UNH+1'+2'", [("UNH", [["1"]])], "E002"),

@@ -7,12 +7,21 @@ from tradewire.streaming.windows import chunked_messages, parse_stream, step
 TEXT = "UNA:+.? '\n" + "".join(f"UNH+{i}+A:B'\nFTX+x?'y??+{'z' * (i % 7)}'UNT+3+{i}'\r\n" for i in range(200))
 
 
-@pytest.mark.parametrize("split", [7, 64, 1000, 1 << 20])
-def test_any_split_gives_the_same_rows(spark, tmp_path, split):
+@pytest.mark.parametrize("split", [97, 300, 1000, 1 << 20])
+def test_any_split_gives_the_same_segments(tmp_path, split):
+    p = tmp_path / "a.edi"
+    p.write_text(TEXT, newline="")
+    reader = S._RangeReader({"path": str(p), "splitBytes": str(split)})
+    got = [row for part in reader.partitions() for row in reader.read(part)]
+    whole = S._RangeReader({"path": str(p)})
+    assert got == list(whole.read(whole.partitions()[0])) and len(got) == 600
+
+
+def test_ranges_agree_with_the_parser(spark, tmp_path):
     p = tmp_path / "a.edi"
     p.write_text(TEXT, newline="")
     S.register(spark)
-    rows = spark.read.format("edifact").option("path", str(p)).option("splitBytes", split if split > 7 else 97).load()
+    rows = spark.read.format("edifact").option("path", str(p)).option("splitBytes", 4000).load()
     got = [(r.seq, r.tag, [list(e.components) for e in r.elements]) for r in S.segments_of_ranges(rows).orderBy("seq").collect()]
     d = spark.createDataFrame([("a", TEXT)], "interchange_id string, content string")
     want = [(r.span.start, r.tag, [list(e.components) for e in r.elements]) for r in explode_segments(parse(d, spans=True)).orderBy("seq").collect()]
@@ -60,11 +69,9 @@ def test_streams(spark, tmp_path):
     rows = [("k", 0, "UNH+1'FT"), ("k", 1, "X+a'UNT+3"), ("k", 2, "+1'UNH+2'UNH+3'")]
     spark.createDataFrame(rows, "interchange_id string, chunk_no long, content string").coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema("interchange_id string, chunk_no long, content string").parquet(str(src))
-    q = chunked_messages(stream).writeStream.outputMode("append").format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = chunked_messages(stream).writeStream.outputMode("append").format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert sorted((r.message_no, r.content, r.error_code) for r in spark.sql("select * from chunks").collect()) == [(0, "UNH+1'FTX+a'UNT+3+1'", None), (1, None, "E011")]
-    q = parse_stream(stream).writeStream.outputMode("append").format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "d")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = parse_stream(stream).writeStream.outputMode("append").format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert spark.sql("select * from parsed where error.code = 'E001'").count() == 2

@@ -63,12 +63,12 @@ def after_each(separator: Column | str, release: Column | str) -> Column:
 
 
 def up_to_each(terminator: Column | str, release: Column | str) -> Column:
-    """Pattern of a run that ends with a live ``terminator``."""
+    """Pattern of a run that ends with a live ``terminator`` and begins where the last one ended."""
     t, r = quoted(terminator), quoted(release)
     if isinstance(t, str) and isinstance(r, str):
-        return F.lit(f"(?s)(?:[^{t}{r}]++|{r}.)*+{t}")
+        return F.lit(rf"(?s)\G(?:[^{t}{r}]++|{r}.)*+{t}")
     t, r = (F.lit(x) if isinstance(x, str) else x for x in (t, r))
-    return F.concat(F.lit("(?s)(?:[^"), t, r, F.lit("]++|"), r, F.lit(".)*+"), t)
+    return F.concat(F.lit(r"(?s)\G(?:[^"), t, r, F.lit("]++|"), r, F.lit(".)*+"), t)
 
 
 def unescape(value: Column, release: Column | str = "?") -> Column:

@@ -32,7 +32,8 @@ def step(state: tuple, chunk: str, chars: ServiceChars = DEFAULT) -> tuple[tuple
     rest, held, is_open, number, failed = state
     t, r = re.escape(chars.terminator), re.escape(chars.release)
     data, at, out = rest + chunk, 0, []
-    for m in re.finditer(rf"(?s)(?:[^{t}{r}]|{r}.)*?{t}", data):
+    segment = re.compile(rf"(?s)(?:[^{t}{r}]++|{r}.)*+{t}")
+    while m := segment.match(data, at):
         at = m.end()
         raw = m.group().lstrip(" \t\r\n")
         tag = raw[:3]
