@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 
 from tradewire.llm.common import blocks, distinct, texts
 
-_DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 END = 1
 
@@ -68,11 +67,19 @@ class Encoder:
             if any(s in t for s in self.special):
                 parts.append(None)
             else:
-                parts.append(_SAFE.split(t) if _DOUBLE.search(t) or t[:1].isspace() or t[-1:].isspace() else t.split(" "))
+                p = t.split(" ")
+                parts.append(_SAFE.split(t) if len(p) > 1 and (not p[0] or p[0][-1].isspace()) else p)
         now = self.memory
         if len(now) > self.most:
             now.clear()
-        misses = list(set(chain.from_iterable(p[1:] for p in parts if p)).difference(now))
+        fresh = set(chain.from_iterable(p[1:] for p in parts if p)).difference(now)
+        odd = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}  # never remembered as they are
+        if odd:  # a space beside another blank is no safe place: these texts are cut with more care
+            for i, p in enumerate(parts):
+                if p and not odd.isdisjoint(p[1:]):
+                    parts[i] = _SAFE.split(many[i])
+            fresh = set(chain.from_iterable(p[1:] for p in parts if p)).difference(now)
+        misses = list(fresh)
         plain = [w for w in misses if not w[-1:].isspace()]
         if plain:
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
@@ -82,12 +89,10 @@ class Encoder:
             for w, to in zip(plain, (cuts * 4).tolist(), strict=True):
                 now[w] = raw[at:to]
                 at = to
-        for w in misses:
-            if w not in now:
-                now[w] = self._ids(" " + w)
+        last = {w: self._ids(" " + w) for w in misses if w[-1:].isspace()}  # only ends of texts
         out = []
         for t, p in zip(many, parts, strict=True):
-            raw = self._ids(t) if p is None else self._ids(p[0]) + b"".join(map(now.__getitem__, p[1:])) if t else b""
+            raw = self._ids(t) if p is None else self._ids(p[0]) + b"".join([last[w] if w in last else now[w] for w in p[1:]] if last else map(now.__getitem__, p[1:])) if t else b""
             out.append(np.frombuffer(raw, np.uint32))
         return out
 
