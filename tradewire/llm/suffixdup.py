@@ -70,7 +70,7 @@ def owners(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last[wrong] = at[np.searchsorted(at, last[wrong], side="left") - 1]
         wrong = wrong[h[last[wrong]] != low[wrong]]
     first = np.concatenate(([0], np.flatnonzero(last[1:] != last[:-1]) + 1))
-    return h[last[first]], last[first], first
+    return mix64(h[last[first]] + STEP), last[first], first  # least hashes are small; mixed again they spread
 
 
 def _around(low: np.ndarray, width: int, n: int) -> np.ndarray:
