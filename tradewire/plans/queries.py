@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewire.functions import access as A
@@ -32,8 +32,13 @@ def query(sql: str) -> Callable:
     return put
 
 
-KEY = F.col("interchange_id").cast("long")
-HEAD = F.col("segments")
+
+def _key(name: str) -> Column:
+    return F.col("interchange_id").cast("long").alias(name)
+
+
+def _segs() -> Column:
+    return F.col("segments")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +50,8 @@ def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _totals(parsed: DataFrame) -> DataFrame:
-    qty = A.map_all(HEAD, "QTY", lambda s: A.component(s, 0, 1).cast("long"))
-    return parsed.select(KEY.alias("order_key"), F.aggregate(qty, F.lit(0).cast("long"), lambda a, x: a + x).alias("total_qty"), F.size(qty).cast("long").alias("n_lines"))
+    qty = A.map_all(_segs(), "QTY", lambda s: A.component(s, 0, 1).cast("long"))
+    return parsed.select(_key("order_key"), F.aggregate(qty, F.lit(0).cast("long"), lambda a, x: a + x).alias("total_qty"), F.size(qty).cast("long").alias("n_lines"))
 
 
 TOTALS = """SELECT l_orderkey AS order_key, CAST(sum(l_quantity) AS BIGINT) AS total_qty, count(*) AS n_lines
@@ -74,13 +79,13 @@ def binary_latin_roundtrip(spark, sf_dir):
 @query("SELECT o_orderkey AS order_key, '220' AS document_code, CAST(o_orderkey AS VARCHAR) AS document_number, '9' AS function_code FROM orders")
 def bgm_extract(spark, sf_dir):
     spec = M.Segment("BGM", (M.Field("document_code", required=True), M.Field("document_number", required=True), M.Field("function_code")))
-    return M.extract_all(explode_segments(_heads(spark, sf_dir).drop("o_orderkey", "o_custkey", "o_orderpriority")), spec).select(KEY.alias("order_key"), "document_code", "document_number", "function_code")
+    return M.extract_all(explode_segments(_heads(spark, sf_dir).drop("o_orderkey", "o_custkey", "o_orderpriority")), spec).select(_key("order_key"), "document_code", "document_number", "function_code")
 
 
 @query("SELECT o_orderkey AS order_key, '137' AS qualifier, strftime(o_orderdate, '%Y%m%d') AS value, '102' AS format FROM orders")
 def dtm_components(spark, sf_dir):
-    seg = A.find_first(HEAD, "DTM")
-    return _heads(spark, sf_dir).select(KEY.alias("order_key"), *[A.required_component(seg, 0, i)["value"].alias(n) for i, n in enumerate(("qualifier", "value", "format"))])
+    seg = A.find_first(_segs(), "DTM")
+    return _heads(spark, sf_dir).select(_key("order_key"), *[A.required_component(seg, 0, i)["value"].alias(n) for i, n in enumerate(("qualifier", "value", "format"))])
 
 
 @query("SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS ordered, o_custkey AS buyer, true AS no_note, CAST(NULL AS VARCHAR) AS code FROM orders")
@@ -88,31 +93,31 @@ def typed_orders(spark, sf_dir):
     """Typed message mapping with a date and a number."""
     spec = M.Message((M.Part("dated", M.Segment("DTM", (M.Field("ordered", 0, 1, type="date", required=True),), qualifier="137"), required=True), M.Part("buyer", M.Segment("NAD", (M.Field("party", 1, 0, type="long", required=True),), qualifier="BY"), required=True), M.Part("note", M.Segment("FTX", (M.Field("text"),)))))
     out = M.map_messages(_heads(spark, sf_dir).drop("error"), spec)
-    return out.select(KEY.alias("order_key"), F.col("dated.ordered").alias("ordered"), F.col("buyer.party").alias("buyer"), F.col("note").isNull().alias("no_note"), F.col("error.code").alias("code"))
+    return out.select(_key("order_key"), F.col("dated.ordered").alias("ordered"), F.col("buyer.party").alias("buyer"), F.col("note").isNull().alias("no_note"), F.col("error.code").alias("code"))
 
 
 @query("SELECT o_orderkey AS order_key, o_custkey AS buyer FROM orders")
 def nad_qualified_buyer(spark, sf_dir):
-    return _heads(spark, sf_dir).select(KEY.alias("order_key"), A.component(A.find_first(HEAD, "NAD", "BY"), 1).cast("long").alias("buyer"))
+    return _heads(spark, sf_dir).select(_key("order_key"), A.component(A.find_first(_segs(), "NAD", "BY"), 1).cast("long").alias("buyer"))
 
 
 @query("SELECT DISTINCT l_orderkey AS order_key, l_suppkey AS supplier FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
 def nad_qualified_supplier(spark, sf_dir):
-    suppliers = F.array_distinct(A.map_all(HEAD, "NAD", lambda s: A.component(s, 1).cast("long"), "SU"))
-    return _orders(spark, sf_dir).select(KEY.alias("order_key"), F.explode(suppliers).alias("supplier"))
+    suppliers = F.array_distinct(A.map_all(_segs(), "NAD", lambda s: A.component(s, 1).cast("long"), "SU"))
+    return _orders(spark, sf_dir).select(_key("order_key"), F.explode(suppliers).alias("supplier"))
 
 
 @query("SELECT l_orderkey AS order_key, min(l_linenumber) AS first_line FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def first_line_per_order(spark, sf_dir):
     spec = M.Segment("LIN", (M.Field("line", type="int", required=True),))
-    return M.extract_first(explode_segments(_orders(spark, sf_dir)), spec).select(KEY.alias("order_key"), F.col("line").alias("first_line"))
+    return M.extract_first(explode_segments(_orders(spark, sf_dir)), spec).select(_key("order_key"), F.col("line").alias("first_line"))
 
 
 @query("SELECT o_orderkey AS order_key, 'E015' AS code FROM orders")
 def first_match_missing(spark, sf_dir):
     spec = M.Segment("MOA", (M.Field("amount", 0, 1),))
     rows = explode_segments(_heads(spark, sf_dir).select("interchange_id", "segments", "error"))
-    return M.extract_first(rows, spec).select(KEY.alias("order_key"), F.col("error.code").alias("code"))
+    return M.extract_first(rows, spec).select(_key("order_key"), F.col("error.code").alias("code"))
 
 
 @query("SELECT event_id, regexp_full_match(event_type, 'c.*k') AS mid, regexp_full_match(event_type, '.*e.*') AS any_e, event_type = 'view' AS exact FROM events")
@@ -124,7 +129,7 @@ def qualifier_glob(spark, sf_dir):
 @query("SELECT l_orderkey AS order_key, 0 AS message_no, 'ORDERS' AS message_type, 5 + 3 * count(*) AS n_segments FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def message_segment_count(spark, sf_dir):
     out = Wn.messages(explode_segments(_orders(spark, sf_dir)))
-    return out.select(KEY.alias("order_key"), "message_no", "message_type", F.size("segments").cast("long").alias("n_segments"))
+    return out.select(_key("order_key"), "message_no", "message_type", F.size("segments").cast("long").alias("n_segments"))
 
 
 @query("""SELECT o_custkey AS customer, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS message_no, CAST(o_orderkey AS VARCHAR) AS message_ref FROM orders""")
@@ -133,7 +138,7 @@ def messages_per_customer(spark, sf_dir):
     rows = B.header_messages(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "content"))).alias("m"))
     rows = rows.select(F.col("o_custkey").cast("string").alias("interchange_id"), F.array_join(F.transform("m", lambda x: x["content"]), "").alias("content"))
     out = Wn.messages(explode_segments(parse(rows, chars=DEFAULT)))
-    return out.select(KEY.alias("customer"), F.col("message_no").cast("long").alias("message_no"), "message_ref")
+    return out.select(_key("customer"), F.col("message_no").cast("long").alias("message_no"), "message_ref")
 
 
 @query("""SELECT l_orderkey AS order_key, CASE WHEN l_orderkey % 10 = 0 THEN 'E005' END AS code,
@@ -144,14 +149,14 @@ FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_ord
 def envelope_count_mismatch(spark, sf_dir):
     rows = B.order_messages(spark, sf_dir, wrong_unt=F.col("o_orderkey") % 10 == 0, envelope=True)
     out = envelopes(parse(rows, chars=DEFAULT))
-    return out.select(KEY.alias("order_key"), F.col("error.code").alias("code"), F.col("error.message").alias("message"), F.col("interchange.control_ref").alias("control_ref"), F.get("messages", F.lit(0))["actual_segment_count"].alias("n_segments"))
+    return out.select(_key("order_key"), F.col("error.code").alias("code"), F.col("error.message").alias("message"), F.col("interchange.control_ref").alias("control_ref"), F.get("messages", F.lit(0))["actual_segment_count"].alias("n_segments"))
 
 
 @query("SELECT DISTINCT l_orderkey AS order_key, CASE WHEN l_orderkey % 7 = 0 THEN 'E001' ELSE 'ok' END AS outcome FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
 def message_windows_truncated(spark, sf_dir):
     segs = explode_segments(parse(B.order_messages(spark, sf_dir, drop_unt=F.col("o_orderkey") % 7 == 0), chars=DEFAULT))
-    good = Wn.messages(segs).select(KEY.alias("order_key"), F.lit("ok").alias("outcome"))
-    return good.unionByName(Wn.window_errors(segs).select(KEY.alias("order_key"), F.col("error.code").alias("outcome")))
+    good = Wn.messages(segs).select(_key("order_key"), F.lit("ok").alias("outcome"))
+    return good.unionByName(Wn.window_errors(segs).select(_key("order_key"), F.col("error.code").alias("outcome")))
 
 
 def _event_segments(spark, sf_dir):
@@ -169,12 +174,12 @@ b AS (SELECT user_id, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS
 @query(ISLANDS + " SELECT user_id, count(*) AS n_segments, count(DISTINCT island) AS n_runs FROM b GROUP BY 1")
 def contiguous_line_groups(spark, sf_dir):
     r = Wn.runs(_event_segments(spark, sf_dir), "EVT", "click")
-    return r.groupBy("interchange_id").agg(F.count("*").alias("n_segments"), (F.max("run") + 1).cast("long").alias("n_runs")).select(KEY.alias("user_id"), "n_segments", "n_runs")
+    return r.groupBy("interchange_id").agg(F.count("*").alias("n_segments"), (F.max("run") + 1).cast("long").alias("n_runs")).select(_key("user_id"), "n_segments", "n_runs")
 
 
 @query(ISLANDS + " SELECT u.user_id, coalesce(n, 0) <= 1 AS contiguous FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, count(DISTINCT island) AS n FROM b GROUP BY 1) c ON u.user_id = c.user_id")
 def groups_are_contiguous(spark, sf_dir):
-    return Wn.contiguous(_event_segments(spark, sf_dir), "EVT", "click").select(KEY.alias("user_id"), "contiguous")
+    return Wn.contiguous(_event_segments(spark, sf_dir), "EVT", "click").select(_key("user_id"), "contiguous")
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(text, '?', '??'), '+', '?+'), ':', '?:'), '''', '?''') AS escaped FROM documents")
@@ -183,7 +188,7 @@ def escape_text(spark, sf_dir):
 
 
 def _payload(parsed: DataFrame, key: str) -> DataFrame:
-    return parsed.select(KEY.alias(key), A.component_or_empty(A.find_first(HEAD, "FTX"), 3).alias("payload"))
+    return parsed.select(_key(key), A.component_or_empty(A.find_first(_segs(), "FTX"), 3).alias("payload"))
 
 
 @query("SELECT doc_id, text AS payload FROM documents")
@@ -213,21 +218,21 @@ HEAD_TEXT = "'UNH+' || o_orderkey || '+ORDERS:D:11A:UN''BGM+220+' || o_orderkey
 def events_to_text(spark, sf_dir):
     """Segments to an event stream and back to text."""
     rows = explode_segments(_heads(spark, sf_dir).select("interchange_id", "segments", "error"))
-    return Wr.from_events(events(rows)).select(KEY.alias("order_key"), "content")
+    return Wr.from_events(events(rows)).select(_key("order_key"), "content")
 
 
 @query(f"SELECT o_orderkey AS order_key, {HEAD_TEXT} AS content, 5 AS n_segments FROM orders".replace("5 AS n", "CAST(5 AS BIGINT) AS n"))
 def segments_to_text(spark, sf_dir):
     rows = explode_segments(_heads(spark, sf_dir).select("interchange_id", "segments", "error"))
-    return Wr.write_text(rows).select(KEY.alias("order_key"), "content", "n_segments")
+    return Wr.write_text(rows).select(_key("order_key"), "content", "n_segments")
 
 
 @query("SELECT o_orderkey AS order_key, 'DTM+137:' || strftime(o_orderdate, '%Y%m%d') || ':102''' AS content FROM orders")
 def mapped_to_text(spark, sf_dir):
     """Segment to struct and struct to segment by one declaration."""
     spec = M.Segment("DTM", (M.Field("day", 0, 1, type="date"), M.Field("format", 0, 2)), qualifier="137")
-    value = spec.read(A.find_first(HEAD, "DTM"))
-    return _heads(spark, sf_dir).select(KEY.alias("order_key"), spec.write(value).alias("content"))
+    value = spec.read(A.find_first(_segs(), "DTM"))
+    return _heads(spark, sf_dir).select(_key("order_key"), spec.write(value).alias("content"))
 
 
 @query("SELECT o_orderkey AS order_key, 'RFF+ON:' || o_orderkey || '+a?+b:c''' AS content FROM orders")
@@ -240,21 +245,21 @@ def raw_segments(spark, sf_dir):
 SELECT o_orderkey AS order_key, CAST(0 AS BIGINT) AS unh_start, CAST(21 + k AS BIGINT) AS bgm_start, CAST(21 + k + 11 + k AS BIGINT) AS dtm_start, CAST(21 + k + 11 + k + 8 AS BIGINT) AS date_start, CAST(21 + k + 11 + k + 21 AS BIGINT) AS dtm_end FROM l""")
 def byte_spans(spark, sf_dir):
     p = parse(B.header_messages(spark, sf_dir), spans=True)
-    unh, bgm, dtm = (A.find_first(HEAD, t) for t in ("UNH", "BGM", "DTM"))
-    return p.select(KEY.alias("order_key"), unh["span"]["start"].alias("unh_start"), bgm["tag_span"]["start"].alias("bgm_start"), dtm["span"]["start"].alias("dtm_start"), A.component_span(dtm, 0, 1)["start"].alias("date_start"), dtm["span"]["end"].alias("dtm_end"))
+    unh, bgm, dtm = (A.find_first(_segs(), t) for t in ("UNH", "BGM", "DTM"))
+    return p.select(_key("order_key"), unh["span"]["start"].alias("unh_start"), bgm["tag_span"]["start"].alias("bgm_start"), dtm["span"]["start"].alias("dtm_start"), A.component_span(dtm, 0, 1)["start"].alias("date_start"), dtm["span"]["end"].alias("dtm_end"))
 
 
 @query("SELECT o_orderkey AS order_key, [CAST(137 AS VARCHAR), strftime(o_orderdate, '%Y%m%d')][1] AS a, strftime(o_orderdate, '%Y%m%d') AS b, 'E021' AS missing, 'E008' AS absent, CAST(NULL AS VARCHAR) AS none FROM orders")
 def component_access(spark, sf_dir):
-    dtm = A.find_first(HEAD, "DTM")
+    dtm = A.find_first(_segs(), "DTM")
     two = A.repeating_components(dtm, 0, 0, 2)["value"]
-    return _heads(spark, sf_dir).select(KEY.alias("order_key"), F.get(two, F.lit(0)).alias("a"), F.get(two, F.lit(1)).alias("b"), A.repeating_components(dtm, 0, 2, 2)["error"]["code"].alias("missing"), A.required_element(dtm, 4)["error"]["code"].alias("absent"), A.optional(dtm, 0, 9).alias("none"))
+    return _heads(spark, sf_dir).select(_key("order_key"), F.get(two, F.lit(0)).alias("a"), F.get(two, F.lit(1)).alias("b"), A.repeating_components(dtm, 0, 2, 2)["error"]["code"].alias("missing"), A.required_element(dtm, 4)["error"]["code"].alias("absent"), A.optional(dtm, 0, 9).alias("none"))
 
 
 @query("SELECT o_orderkey AS order_key, o_custkey AS number, 'E003' AS code FROM orders")
 def code_elements(spark, sf_dir):
-    unt, unh = A.find_first(HEAD, "UNT"), A.find_first(HEAD, "UNH")
-    return _heads(spark, sf_dir).select(KEY.alias("order_key"), A.component(A.find_first(HEAD, "NAD"), 1).cast("long").alias("number"), F.coalesce(A.code_element(unt, 0, "int")["error"], A.code_element(unh, 1, "int")["error"])["code"].alias("code"))
+    unt, unh = A.find_first(_segs(), "UNT"), A.find_first(_segs(), "UNH")
+    return _heads(spark, sf_dir).select(_key("order_key"), A.component(A.find_first(_segs(), "NAD"), 1).cast("long").alias("number"), F.coalesce(A.code_element(unt, 0, "int")["error"], A.code_element(unh, 1, "int")["error"])["code"].alias("code"))
 
 
 def _priority_messages(spark, sf_dir):
@@ -274,7 +279,7 @@ def _elements(n: int, *mandatory: int) -> tuple:
 def code_list_violations(spark, sf_dir):
     d = V.DirectoryValidator("D11A", (V.SegmentDefinition("BGM", _elements(3, 0)),), {"1001": ("1-URGENT", "2-HIGH")}).code_list_only()
     out = V.ValidationContext().with_validator("code_list", d).validate(_priority_messages(spark, sf_dir))
-    return out.select(KEY.alias("order_key"), "error_code", "severity", "segment_tag", "message")
+    return out.select(_key("order_key"), "error_code", "severity", "segment_tag", "message")
 
 
 def _faulty(spark, sf_dir):
@@ -318,7 +323,7 @@ def _directory_issues(spark, sf_dir):
 
 @query(FAULTS)
 def directory_issues(spark, sf_dir):
-    return _directory_issues(spark, sf_dir).select(KEY.alias("order_key"), "error_code", "message", "suggestion", "element_index")
+    return _directory_issues(spark, sf_dir).select(_key("order_key"), "error_code", "message", "suggestion", "element_index")
 
 
 def _filtered(which: int) -> str:
@@ -327,17 +332,17 @@ def _filtered(which: int) -> str:
 
 @query(_filtered(0))
 def required_segment_missing(spark, sf_dir):
-    return _directory_issues(spark, sf_dir).where(F.col("message").startswith("required segment")).select(KEY.alias("order_key"), "message")
+    return _directory_issues(spark, sf_dir).where(F.col("message").startswith("required segment")).select(_key("order_key"), "message")
 
 
 @query(_filtered(3))
 def arity_violations(spark, sf_dir):
-    return _directory_issues(spark, sf_dir).where("error_code = 'E012'").select(KEY.alias("order_key"), "message")
+    return _directory_issues(spark, sf_dir).where("error_code = 'E012'").select(_key("order_key"), "message")
 
 
 @query(_filtered(2))
 def component_count_violations(spark, sf_dir):
-    return _directory_issues(spark, sf_dir).where("error_code = 'E013'").select(KEY.alias("order_key"), "message")
+    return _directory_issues(spark, sf_dir).where("error_code = 'E013'").select(_key("order_key"), "message")
 
 
 def _pack() -> V.RulePack:
@@ -368,17 +373,17 @@ def _pack_issues(spark, sf_dir):
 
 @query(f"SELECT order_key, severity, rule_id, message FROM {PACKED}")
 def profile_pack_issues(spark, sf_dir):
-    return _pack_issues(spark, sf_dir).select(KEY.alias("order_key"), "severity", "rule_id", "message")
+    return _pack_issues(spark, sf_dir).select(_key("order_key"), "severity", "rule_id", "message")
 
 
 @query(f"SELECT order_key, rule_id FROM {PACKED} WHERE starts_with(rule_id, 'KEY-')")
 def rule_prefix_filter(spark, sf_dir):
-    return R.of_rule_prefix(_pack_issues(spark, sf_dir), "KEY-").select(KEY.alias("order_key"), "rule_id")
+    return R.of_rule_prefix(_pack_issues(spark, sf_dir), "KEY-").select(_key("order_key"), "rule_id")
 
 
 @query(f"SELECT order_key, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, count(*) AS total_issues, count(*) FILTER (severity = 'error') = 0 AS is_valid FROM {PACKED} GROUP BY 1")
 def report_severity_counts(spark, sf_dir):
-    return R.counts(_pack_issues(spark, sf_dir), "interchange_id").select(KEY.alias("order_key"), "errors", "warnings", "infos", "total_issues", "is_valid")
+    return R.counts(_pack_issues(spark, sf_dir), "interchange_id").select(_key("order_key"), "errors", "warnings", "infos", "total_issues", "is_valid")
 
 
 @query("""SELECT o_orderkey AS order_key, 'Validation Report:' ||
@@ -386,7 +391,7 @@ CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '  Errors (1)' || chr(10) || '    -
 CASE WHEN o_custkey % 3 = 0 THEN chr(10) || '  Warnings (1)' || chr(10) || '    - reserved buyer [segment=NAD] [rule=KEY-P002] [element=1] [hint=Use another buyer]' ELSE '' END ||
 chr(10) || '  Info (1)' || chr(10) || '    - seen [rule=LOG-I001]' AS report FROM orders""")
 def report_text(spark, sf_dir):
-    return R.render(_pack_issues(spark, sf_dir), "interchange_id").select(KEY.alias("order_key"), "report")
+    return R.render(_pack_issues(spark, sf_dir), "interchange_id").select(_key("order_key"), "report")
 
 
 @query("""SELECT o_orderkey AS order_key, CASE o_orderkey % 8 WHEN 0 THEN 'E001' WHEN 1 THEN 'E019' WHEN 2 THEN 'E006' WHEN 3 THEN 'E002' WHEN 4 THEN 'E007' WHEN 5 THEN 'E020' END AS code,
@@ -398,7 +403,7 @@ def parse_error_codes(spark, sf_dir):
     tail = F.when(k == 0, "BGM+2").when(k == 1, "BGM+2?").when(k == 2, "bgm+2'").when(k == 3, "+2'").when(k == 5, F.lit("FTX+" + "x" * 200 + "'")).otherwise("")
     body = F.concat(F.when(k == 4, "UNA++.? '").otherwise(""), Wr.segment_text("UNH", [key]), tail)
     p = parse(o.select(key.cast("string").alias("interchange_id"), body.alias("content")), max_segment_bytes=150)
-    return p.select(KEY.alias("order_key"), F.col("error.code").alias("code"), F.size("segments").cast("long").alias("n_segments"))
+    return p.select(_key("order_key"), F.col("error.code").alias("code"), F.size("segments").cast("long").alias("n_segments"))
 
 
 @query("""SELECT n_name AS nation, count(*) AS n_lines, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
@@ -415,7 +420,7 @@ def invoice_value_by_supplier_nation(spark, sf_dir):
         B.trailer(F.lit(5), ref),
     )
     p = parse(li.select(body.alias("content")), chars=DEFAULT)
-    got = p.select(A.component(A.find_first(HEAD, "NAD", "SU"), 1).cast("long").alias("s_suppkey"), A.component(A.find_first(HEAD, "MOA", "203"), 0, 1).cast("long").alias("cents"))
+    got = p.select(A.component(A.find_first(_segs(), "NAD", "SU"), 1).cast("long").alias("s_suppkey"), A.component(A.find_first(_segs(), "MOA", "203"), 0, 1).cast("long").alias("cents"))
     got = got.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
     s, n = B.table(spark, sf_dir, "supplier"), B.table(spark, sf_dir, "nation")
     both = got.join(s, "s_suppkey").join(n, s["s_nationkey"] == n["n_nationkey"])
@@ -429,8 +434,8 @@ def event_stream_windows(spark, sf_dir):
     key = F.col("event_id")
     body = F.concat(B.head(key, "EVENTS"), Wr.segment_text("DTM", [[F.lit("137"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("204")]]), Wr.segment_text("EVT", [F.col("event_type")]), B.trailer(F.lit(4), key))
     p = parse(e.select(body.alias("content")), chars=DEFAULT)
-    at = F.substring(A.component(A.find_first(HEAD, "DTM"), 0, 1), 1, 10)
-    return p.groupBy(at.alias("hour"), A.component(A.find_first(HEAD, "EVT"), 0).alias("event_type")).agg(F.count("*").alias("n"))
+    at = F.substring(A.component(A.find_first(_segs(), "DTM"), 0, 1), 1, 10)
+    return p.groupBy(at.alias("hour"), A.component(A.find_first(_segs(), "EVT"), 0).alias("event_type")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT o_orderkey AS order_key, CASE o_orderkey % 7 WHEN 0 THEN 'E015' WHEN 1 THEN 'E015' WHEN 2 THEN 'E016' WHEN 3 THEN 'E003' WHEN 4 THEN 'E004' WHEN 5 THEN 'E011' END AS code FROM orders""")
@@ -443,4 +448,4 @@ def envelope_errors(spark, sf_dir):
     unz = Wr.segment_text("UNZ", [F.when(k == 3, F.lit("x")).when(k == 4, F.lit("2")).otherwise(F.lit("1")), F.when(k == 2, key + 1).otherwise(key)])
     msg = F.concat(B.head(key), B.trailer(F.lit(2), key))
     body = F.concat(F.when(k == 0, "").otherwise(unb), msg, F.when(k == 5, "DTM+1'").otherwise(""), F.when(k == 1, "").otherwise(unz))
-    return envelopes(parse(o.select(key.cast("string").alias("interchange_id"), body.alias("content")), chars=DEFAULT)).select(KEY.alias("order_key"), F.col("error.code").alias("code"))
+    return envelopes(parse(o.select(key.cast("string").alias("interchange_id"), body.alias("content")), chars=DEFAULT)).select(_key("order_key"), F.col("error.code").alias("code"))
