@@ -69,9 +69,9 @@ def test_streams(spark, tmp_path):
     rows = [("k", 0, "UNH+1'FT"), ("k", 1, "X+a'UNT+3"), ("k", 2, "+1'UNH+2'UNH+3'")]
     spark.createDataFrame(rows, "interchange_id string, chunk_no long, content string").coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema("interchange_id string, chunk_no long, content string").parquet(str(src))
-    q = chunked_messages(stream).writeStream.outputMode("append").format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = chunked_messages(stream).writeStream.outputMode("append").format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
     assert q.awaitTermination(90)
     assert sorted((r.message_no, r.content, r.error_code) for r in spark.sql("select * from chunks").collect()) == [(0, "UNH+1'FTX+a'UNT+3+1'", None), (1, None, "E011")]
-    q = parse_stream(stream).writeStream.outputMode("append").format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q = parse_stream(stream).writeStream.outputMode("append").format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "d")).trigger(once=True).start()
     assert q.awaitTermination(90)
     assert spark.sql("select * from parsed where error.code = 'E001'").count() == 2
