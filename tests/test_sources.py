@@ -74,4 +74,4 @@ def test_streams(spark, tmp_path):
     assert sorted((r.message_no, r.content, r.error_code) for r in spark.sql("select * from chunks").collect()) == [(0, "UNH+1'FTX+a'UNT+3+1'", None), (1, None, "E011")]
     q = parse_stream(stream).writeStream.outputMode("append").format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "d")).trigger(once=True).start()
     assert q.awaitTermination(90)
-    assert spark.sql("select * from parsed where error.code = 'E001'").count() == 2
+    assert sorted(r[0] for r in spark.sql("select error.code from parsed").collect()) == ["E001", "E002", "E006"]
