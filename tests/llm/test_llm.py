@@ -264,6 +264,13 @@ def test_lines(spark, hostile, empty):
     assert linededup.dedup(table(spark, [(1, "a b c d e\n\nf", "a", "s"), (2, "g\n \na b c d e", "a", "s")]), unit="paragraph").where("kept_text = 'g'").count() == 1
 
 
+def test_short_lines_go_too(spark):
+    blob = "重复的一行没有空格" * 20
+    rows = [(1, f"All rights reserved.\n\n{blob}\nown", "a", "s"), (2, f"start\n\n \nall  rights RESERVED.\n{blob}", "a", "s"), (3, "other\n\nown\n", "a", "s")]
+    got = {r.doc_id: (r.kept_text, r.n_units, len(r.removed)) for r in linededup.dedup(table(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("start\n\n ", 5, 2), 3: ("other\n\n", 4, 1)}
+
+
 def test_shards(spark, hostile, empty):
     df, rows = hostile
     big = df.union(df).union(df)

@@ -2,8 +2,9 @@
 
 Texts are cut into units (lines, or paragraphs between blank lines); a unit's normal form (lower
 case, runs of blanks as one) is hashed to 128 bits. Digests are grouped over the whole corpus; the
-occurrence that comes first by (document id, place) stays and all others go. Units of fewer than
-``min_words`` words always stay. Offsets are code points of the original text.
+occurrence that comes first by (document id, place) stays and all others go. Blank units always
+stay; ``min_words`` above 1 also keeps units of fewer blank-separated words. Offsets are code points
+of the original text.
 
 Defined cases: a null text is the empty text; of repeated rows the first keeps its units and the
 others lose them, as any two documents with equal ids; null ids rank first; an empty table gives
@@ -51,7 +52,7 @@ def cut(text: str, spans: list[tuple[int, int]], unit: str) -> str:
     return "".join(out)
 
 
-def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 5) -> DataFrame:
+def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 1) -> DataFrame:
     """(doc_id, text, kept_text, n_units, removed) of each row; removed: array of (start, end)."""
     docs = scratch(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id()))
     kind = dict(docs.dtypes)["doc_id"]
@@ -61,7 +62,7 @@ def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: st
             row, start, end, digest = [], [], [], []
             for i, t in enumerate(texts(block, "text")):
                 for a, b, norm in units(t, unit):
-                    if norm.count(" ") + 1 >= min_words:
+                    if norm and norm.count(" ") + 1 >= min_words:
                         row.append(i)
                         start.append(a)
                         end.append(b)
@@ -89,7 +90,7 @@ def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: st
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """Repeated lines of five words or more, removed from all documents but the first that holds them."""
+    """Repeated lines that are not blank, removed from all documents but the first that holds them."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
