@@ -229,6 +229,17 @@ def test_language(spark, empty):
     assert none.transform(df).where("lang_pred <> 'und'").count() == 0 and model.transform(empty).count() == 0
 
 
+def test_language_sample_is_not_filled_by_blanks_or_copies(spark):
+    rng = random.Random(8)
+    en, de = "the and of water people which their house".split(), "der und die nicht straße häuser schön auch".split()
+    say = lambda i: " ".join(rng.choice(en if i % 2 else de) for _ in range(rng.randint(5, 30)))
+    junk = [(1000 + i, (None, "", "12 !")[i % 3] if i < 900 else "people people", "en" if i % 2 or i >= 900 else "de", "s") for i in range(1800)]
+    rows = [(i, say(i), "en" if i % 2 else "de", "s") for i in range(300)]
+    models = [langid.fit(table(spark, x).repartition(n), max_train_docs=60) for x, n in ((junk + rows, 1), (rows[::-1] + junk, 5))]
+    assert all(sum(m.predict(r[1])[0] == r[2] for r in rows) >= 290 for m in models)
+    assert np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].idf, models[1].idf)
+
+
 def test_tiling():
     item, doc = list(range(1, 21)), [*range(11, 21), -1, 99, *range(1, 11), 5, 6, 7, 8, 9]
     assert sorted(decontam.tiles(item, doc, 5)) == [(0, 12, 10), (10, 0, 10)]

@@ -4,9 +4,9 @@ temperature calibration.
 
 Text is folded (letters to lower case, every run of other characters to one space), hashed
 n-grams of one to three characters are counted over the whole text, ``(1 + ln tf) * idf`` is
-scaled to unit length. Document frequencies cover every labelled training row; the weights are
-fitted on a bounded sample (``max_train_docs``), taken evenly over the labels by a hash of the
-row's text.
+scaled to unit length. Document frequencies cover every labelled training row that has a letter;
+the weights are fitted on a bounded sample (``max_train_docs``) of the distinct texts, taken evenly
+over the labels: those of each label whose hashes are smallest, whatever the order of the rows.
 
 Defined cases: a null text, an empty one or one without a letter gets ``und`` with score 0;
 rows with a null label are not learned from; with no labelled row every text gets ``und``;
@@ -158,9 +158,12 @@ class LanguageModel:
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", *, max_train_docs: int = 4000, bits: int = 15, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> LanguageModel:
     """Learn from the rows of ``df`` with a label. ``max_train_docs`` bounds the rows whose vectors reach the driver."""
-    rows = df.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a label
-    labels, d = sorted(counts), 1 << bits
+    rows = df.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    # Copies have one hash and count once in the sample, so that no large group of them fills it.
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    keys = rows.groupBy("label", "hash").agg(F.count("*").alias("n"))
+    counts = {r["label"]: (r["n"], r["different"]) for r in keys.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()}  # one row a label
+    labels, d, n_rows = sorted(counts), 1 << bits, sum(n for n, _ in counts.values())
     if not labels:
         return LanguageModel([], np.ones(d), np.zeros((d, 0)), 1.0, bits)
 
@@ -173,23 +176,34 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", *, max_train_doc
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["feature", "n"])
 
     df_counts = rows.select("text").mapInArrow(frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # at most 2**bits rows
-    idf = np.full(d, math.log(1 + sum(counts.values())))
-    idf[df_counts["feature"].to_numpy(int)] = np.log((1 + sum(counts.values())) / (1 + df_counts["n"].to_numpy(float))) + 1
+    idf = np.full(d, math.log(1 + n_rows))
+    idf[df_counts["feature"].to_numpy(int)] = np.log((1 + n_rows) / (1 + df_counts["n"].to_numpy(float))) + 1
 
     quota = max(1, max_train_docs // len(labels))
-    uniform = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate: Column = F.lit(0.0)
-    for name in labels:
-        rate = F.when(F.col("label") == name, F.lit(min(1.0, quota / counts[name]))).otherwise(rate)
+
+    def up_to(bounds: dict[str, int]) -> Column:
+        """Whether the hash is at most the bound of the row's label."""
+        most = F.lit(-(1 << 63))
+        for name in labels:
+            most = F.when(F.col("label") == name, F.lit(bounds[name])).otherwise(most)
+        return F.col("hash") <= most
+
+    # Twice the quota and 32 are expected below the first bounds, so fewer than the quota fall there only where a label has no more.
+    first = {name: min((1 << 63) - 1, -(1 << 63) + (2 * quota + 32 << 64) // different) for name, (_, different) in counts.items()}
+    lowest: dict[str, list[int]] = {name: [] for name in labels}
+    for r in rows.where(up_to(first)).select("label", "hash").distinct().collect():  # about 2 * quota + 32 rows a label
+        lowest[r["label"]].append(r["hash"])
+    bounds = {name: sorted(x)[:quota][-1] for name, x in lowest.items()}
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x, bits) for x in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.uint32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["label", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([a.astype(np.uint32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["label", "at", "n"])
 
-    sample = rows.where(uniform < rate).mapInArrow(vectors, "label string, at binary, n binary").limit(2 * max_train_docs).toPandas()
+    chosen = rows.where(up_to(bounds)).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    sample = chosen.mapInArrow(vectors, "label string, at binary, n binary").toPandas()  # at most quota rows a label
     examples = []
-    for name, at, n in sorted(zip(sample["label"], sample["at"], sample["n"], strict=True), key=lambda r: (r[0], r[1])):
+    for name, at, n in sorted(zip(sample["label"], sample["at"], sample["n"], strict=True)):
         at, n = np.frombuffer(at, np.uint32).astype(int), np.frombuffer(n, np.float32).astype(float)
         if at.size:
             examples.append((at, _scaled(at, n, idf), labels.index(name)))
