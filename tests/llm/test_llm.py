@@ -108,6 +108,15 @@ def test_widely_copied_secrets_stay(spark):
     assert out[7] == f"x [SECRET] y password={copied}" and out[0] == rows[0][1] and out[8] is None and len(out) == 7
 
 
+def test_secrets_in_copied_documents_are_live(spark):
+    copied, pair, example = "deadbeefdeadbeef01", "x9Y8z7W6v5U4t3S2r1Q0p9", "0123456789abcdef0123"
+    rows = [(i, f"the key {copied} of one", "a", f"s{i}") for i in range(9)] + [(20 + i, f"{i} has {pair}", "a", f"s{i}") for i in range(2)] + [(40 + i, f"{i} password={example}", "a", f"s{i}") for i in range(9)]
+    out = {r.doc_id: r.text for r in secrets.redact(table(spark, rows)).collect()}
+    assert out == {d: t if d >= 40 else t.replace(copied, "[SECRET]").replace(pair, "[SECRET]") for d, t, *_ in rows}
+    found = {r.doc_id: r for r in secrets.scan(table(spark, rows)).documents.collect()}
+    assert all(found[d].n_live == (d < 40) and (found[d].n_copied > 0) == (d >= 40) for d, *_ in rows)
+
+
 def test_packing(spark, hostile, empty):
     from tokenizers import Tokenizer
 

@@ -1,10 +1,12 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found in whole texts; their value hashes are aggregated over the corpus by
-distinct repositories and owners. A value that more than ``max_owners`` owners hold is a widely
-copied example, one that few owners hold is live-looking. The base kinds (assign, access, hex)
+distinct repositories and owners. A document's copies are not ownership: each distinct text counts
+for one owner and one repository, its least. A value is a widely copied example only if more than
+``max_owners`` owners hold it and its distinct texts count for several owners and several
+repositories; any other is live-looking. Near copies are distinct texts. The base kinds (assign, access, hex)
 are reported whatever the verdict; the kind ``owned`` is added by the method: long mixed strings
-without a known form which only few owners hold and which overlap no base span.
+without a known form which are live-looking and overlap no base span.
 
 Positions come from the pieces between the matches: ``split`` and ``regexp_extract_all`` walk a
 text by the same leftmost, non-overlapping matches, so running sums of their lengths give each
@@ -52,7 +54,7 @@ def _found(text: Column, kind: str) -> Column:
     return F.when(text.rlike(PATTERNS[kind]), both)
 
 
-def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 1) -> Scan:
+def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 4) -> Scan:
     body = F.coalesce(F.col(text), F.lit(""))
     rows = scratch(
         df.select(
@@ -88,11 +90,13 @@ def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repositor
     found = found.withColumn("clear", clear).where(base | F.col("clear"))
     found = scratch(found.select("uid", "doc_id", "text_hash", "repository", "owner", "rank", "start", "end", F.sha2("value", 256).alias("value_hash")))
 
-    # A hot value is spread by its repositories first; later sums combine before they are dealt out.
-    held = found.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
-    held = held.groupBy("value_hash", "owner").agg(F.count("*").alias("n_repositories"))
-    stats = held.groupBy("value_hash").agg(F.sum("n_repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
-    spans = found.join(stats, "value_hash").withColumn("live", F.col("n_owners") <= max_owners)
+    # A hot value is spread by its texts first; later sums combine before they are dealt out.
+    owners = found.groupBy("value_hash", "owner").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.count("*").alias("n_owners"))
+    held = found.groupBy("value_hash", "text_hash").agg(F.min("owner").alias("owner"), F.min("repository").alias("repository"))
+    several = [held.groupBy("value_hash", c).agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.count("*").alias(n)) for c, n in (("owner", "n_sources"), ("repository", "n_repositories"))]
+    stats = owners.join(several[0], "value_hash").join(several[1], "value_hash")
+    copied = (F.col("n_owners") > max_owners) & (F.col("n_sources") > 1) & (F.col("n_repositories") > 1)
+    spans = found.join(stats, "value_hash").withColumn("live", ~copied)
     spans = spans.where((F.col("rank") < 3) | F.col("live")).withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1))
 
     def joined(which: Column) -> Column:
@@ -115,7 +119,7 @@ def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repositor
     return Scan(out.select(names), spans.select("doc_id", "text_hash", "kind", "start", "end", "value_hash", "n_repositories", "n_owners", "live"))
 
 
-def redact(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 1, mask: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 4, mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every live-looking span replaced by ``mask``; widely copied examples stay."""
     found = scan(df, doc_id=doc_id, text=text, repository=repository, owner=owner, max_owners=max_owners).spans
     found = found.where("live").select("doc_id", "text_hash", "start", "end").distinct()
