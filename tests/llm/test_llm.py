@@ -255,6 +255,11 @@ def test_tiling():
     assert decontam.tiles(item, [1, 2, 3, 4], 5) == [] and decontam.tiles([1, 2], [5, 1, 2], 5) == [(0, 1, 2)]
 
 
+def test_tiling_keeps_the_head_of_a_cut_match():
+    item = list(range(1, 22))
+    assert sorted(decontam.tiles(item, [*item[5:14], -1, *item[0:8], -1, *item[5:10]], 5)) == [(0, 10, 5), (5, 0, 9)]
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(9)
     items = [(i, prose(rng, 40)) for i in range(30)] + [(90, None), (91, "..."), (92, "tiny item")]

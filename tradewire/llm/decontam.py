@@ -57,7 +57,7 @@ def tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, i
             if not any(mine[p : p + k]) and not any(theirs[q : q + k]):
                 mine[p : p + k] = theirs[q : q + k] = [True] * k
                 out.append((p, q, k))
-        if size == least:
+        if size == least and not found:  # a pass that marks may leave the head of a match it cut: look again
             break
         size = max(least, size // 2)
     return out
