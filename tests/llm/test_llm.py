@@ -141,13 +141,18 @@ def test_packing(spark, hostile, empty):
 
 
 def test_encoder_agrees_with_the_tokenizer():
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
-    tok, mine, rng = Tokenizer.from_file(path), packing.Encoder(path, most=50), random.Random(1)
+    tok, mine, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(1)
     for _ in range(1500):
         t = "".join(rng.choice(["a", "bc", " ", "  ", "\n", " \n", "\t", "é", "'s", "12", ".", " ' ", "　", "😀", "<|endoftext|>", "Z"]) for _ in range(rng.randint(0, 12)))
-        assert mine.encode([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+        assert mine.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert mine.fast is not None
+    other = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("Some words", add_special_tokens=False).ids
+    assert other.fast is None and other.encode("Some words").tolist() == want
 
 
 def test_cuts_are_optimal():

@@ -15,11 +15,11 @@ each; null document ids stay null; an empty table gives no pieces; other columns
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,71 +30,58 @@ from pyspark.sql import types as T
 
 from tradewire.llm.common import blocks, distinct, texts
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
 END = 1
+#: Fixed value: how byte-level vocabularies cut texts into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
     """Byte-level BPE ids of whole texts, as ``tokenizers`` gives them.
 
-    In this family of vocabularies a space between two other characters always starts a new word
-    for the tokenizer, so a text may be cut before it. Words seen before are remembered (up to a
-    bound); the others of a block are encoded in one call and told apart by their byte lengths.
+    A file of the plain byte-level kind (no normaliser, no prefix space, merges in the order of
+    their ids) is the same vocabulary as a table of ranks, which ``tiktoken`` encodes several times
+    faster; any other file, and texts that hold an added token, go to ``tokenizers`` itself. Nothing
+    is remembered between texts.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocabulary = self.tok.get_vocab()
-        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():  # each character of a byte-level token stands for a byte
-            self.bytes[i] = len(token)
-        self.most = most
-        self.memory: dict[str, bytes] = {}
-        shown = {i: self.tok.decode([i]) for i in range(len(self.bytes))}
-        self.closes = np.array([bool(shown[i].strip()) and shown[i].rstrip()[-1] in ".!?。！？" for i in range(len(self.bytes))])
-        self.breaks = np.array(["\n" in shown[i] for i in range(len(self.bytes))])
-        self.opens = np.array([shown[i][:1].isspace() for i in range(len(self.bytes))])
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode(self, many: list[str]) -> list[np.ndarray]:
-        parts: list[list[str] | None] = []
-        for t in many:
-            if any(s in t for s in self.special):
-                parts.append(None)
-            else:
-                p = t.split(" ")
-                parts.append(_SAFE.split(t) if len(p) > 1 and (not p[0] or p[0][-1].isspace()) else p)
-        now = self.memory
-        if len(now) > self.most:
-            now.clear()
-        fresh = set(chain.from_iterable(p[1:] for p in parts if p)).difference(now)
-        odd = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}  # never remembered as they are
-        if odd:  # a space beside another blank is no safe place: these texts are cut with more care
-            for i, p in enumerate(parts):
-                if p and not odd.isdisjoint(p[1:]):
-                    parts[i] = _SAFE.split(many[i])
-            fresh = set(chain.from_iterable(p[1:] for p in parts if p)).difference(now)
-        misses = list(fresh)
-        plain = [w for w in misses if not w[-1:].isspace()]
-        if plain:
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in plain])
-            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(plain, (cuts * 4).tolist(), strict=True):
-                now[w] = raw[at:to]
-                at = to
-        last = {w: self._ids(" " + w) for w in misses if w[-1:].isspace()}  # only ends of texts
-        out = []
-        for t, p in zip(many, parts, strict=True):
-            raw = self._ids(t) if p is None else self._ids(p[0]) + b"".join([last[w] if w in last else now[w] for w in p[1:]] if last else map(now.__getitem__, p[1:])) if t else b""
-            out.append(np.frombuffer(raw, np.uint32))
-        return out
+        added = self.tok.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.fast = _ranked(path, set(self.special))
+        shown = {i: self.tok.decode([i], skip_special_tokens=False) for i in range(self.tok.get_vocab_size())}
+        self.closes = np.array([bool(x.strip()) and x.rstrip()[-1] in ".!?。！？" for x in shown.values()])
+        self.breaks = np.array(["\n" in x for x in shown.values()])
+        self.opens = np.array([x[:1].isspace() for x in shown.values()])
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special):
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.frombuffer(array("I", ids), np.uint32)
+
+
+def _ranked(path: str, special: set[str]):
+    """The file's vocabulary as ranks of byte strings, or None if it is of another kind."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"]]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    letters = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
+    if None in merged or merged != sorted(merged) or not all(c in letters for t in vocabulary for c in t):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 def cuts(ends: np.ndarray, sentences: np.ndarray, size: int, sentence_cost: float, inside_cost: float, sequence_cost: float) -> list[int]:
@@ -185,7 +172,8 @@ def pack(
             seq = np.searchsorted(chosen, a, side="right")
             first = np.concatenate(([0], ends))[doc]
             begun = np.concatenate(([0], chosen))[seq]
-            crc = [zlib.crc32(stream[x:y].astype("<u4").tobytes()) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            little = stream.astype("<u4", copy=False)
+            crc = [zlib.crc32(little[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             lengths = np.array([len(h) for h in held])
             columns = [a - first, b - a, crc, lengths[doc], seq + number, a - begun]
             arrays = [keys_array().take(pa.array(doc)), *[pa.array(c, pa.int64()) for c in columns]]
@@ -201,7 +189,7 @@ def pack(
             return pa.concat_arrays(keys)
 
         for block in blocks(batches, "text"):
-            for i, ids in enumerate(encoder.encode(texts(block, "text"))):
+            for i, ids in enumerate(map(encoder.encode, texts(block, "text"))):
                 if held and tokens + ids.size + 1 > block_tokens:
                     yield flush()
                 keys.append(block.column(0).slice(i, 1))
