@@ -7,6 +7,7 @@ import atexit
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,10 +30,12 @@ def words(text: str) -> list[bytes]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one of our own in local mode and an error elsewhere."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     global _own
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="tradewire-")
@@ -46,13 +49,16 @@ def scratch(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared scratch folder and return the reread table.
 
     This cuts lineage, survives lost executors, and fixes values such as generated row ids.
-    The table goes when the driver's interpreter exits.
+    The table goes when it is discarded, or else when the driver's interpreter exits.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tradewire-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -69,7 +75,7 @@ def crc_mod(column: str, n: int):
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose ``text`` column holds about ``most`` bytes (one row at least)."""
+    """Slices of the batches whose ``text`` column (texts, bytes, lists of numbers, or sizes) holds about ``most`` bytes (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -86,7 +92,11 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int = 2_000_000)
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_integer(column.type):
+        size = column
+    else:
+        size = pc.multiply(pc.list_value_length(column), 8) if pa.types.is_list(column.type) else pc.binary_length(column)
+    return pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -148,17 +158,48 @@ def with_fields(schema: T.StructType, *more: T.StructField) -> T.StructType:
 
 
 class Bitmap:
-    """Marks of 64-bit hashes in 2**bits places, whatever their number: never misses one that was put in."""
+    """Marks of 64-bit hashes in 2**bits places: never misses one that was put in.
 
-    def __init__(self, rows: DataFrame, column: str, bits: int = 26):
-        place = F.shiftrightunsigned(column, 64 - bits)
-        mask = F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 AS int)))")
-        found = rows.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(mask.alias("mask")).toPandas()  # at most 2**(bits - 6) rows
-        self.bits = bits
-        self.words = np.zeros(1 << (bits - 6), np.uint64)
-        self.words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    There are about 16 places a hash, so few others pass; above 2**28 places (32 MB, what is sent to each
+    executor at most) more others pass, which costs work and changes no result.
+    """
+
+    def __init__(self, rows: DataFrame, column: str, most_bits: int = 28):
+        n = rows.count()
+        self.bits = min(most_bits, max(16, (16 * n).bit_length()))
+        shift = 64 - self.bits
+        mask = F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {shift}) & 63 AS int)))")
+        # At most 2**(bits - 6) rows of 16 bytes, which come as Arrow batches.
+        found = rows.groupBy(F.shiftrightunsigned(F.shiftrightunsigned(column, shift), 6).alias("word")).agg(mask.alias("mask")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         """Whether each hash (uint64) is marked."""
         at = h >> np.uint64(64 - self.bits)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def parted(rows: DataFrame, hash_column: str, marks: Bitmap, size_of: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash is marked, and the others: a join with what was marked need not move these."""
+    shared = rows.sparkSession.sparkContext.broadcast(marks)  # 32 MB at most
+
+    def chosen(want: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches, size_of):
+                yield block.filter(pa.array(shared.value.holds(block.column(hash_column).to_numpy().view(np.uint64)) == want))
+
+        return run
+
+    return rows.mapInArrow(chosen(True), rows.schema), rows.mapInArrow(chosen(False), rows.schema)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``scratch`` that nothing reads any more; others go when the driver's interpreter exits."""
+    for df in tables:
+        path = _paths.pop(id(df), None)
+        if path is not None:
+            _drop(df.sparkSession, path)
+
+
+_paths: dict[int, str] = {}

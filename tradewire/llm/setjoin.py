@@ -4,8 +4,11 @@ Each document is the set of its word shingles. Documents with equal sets are one
 start. A class is embedded by ``SKETCH`` minimum hashes; (position, value) pairs are the tokens
 that paths sample. In each run a class enters the nodes of the tokens sampled for it at rate
 1 / (threshold * SKETCH); a node of more than ``bucket`` classes is split again on tokens
-sampled anew, down to ``depth`` levels, and smaller nodes are compared outright. Runs repeat
-until a pair at the threshold is met with probability ``recall``. Pairs whose sketches agree
+sampled anew until it is small, and small nodes are compared outright. Near copies by the thousand
+share nearly all tokens, so that no sampling parts them: what is still large after ``depth`` levels is
+compared in blocks. Runs repeat until a pair at the threshold is met within two levels with
+probability ``recall``; deeper levels only hold pairs all of whose nodes are large, at six levels with
+0.94 a pair, and links of a group are found from any path between its texts. Pairs whose sketches agree
 well enough join two classes into one candidate group; within each group all pairs of sets are
 then compared exactly, so a link is lost only if no path of sampled pairs leads from one text to
 the other.
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewire.llm.cells import cells, dealt, labels, paired
-from tradewire.llm.common import STEP, Bitmap, WordHashes, blocks, mix64, scratch, shingles, texts, word_hashes, words
+from tradewire.llm.common import STEP, Bitmap, WordHashes, blocks, discard, mix64, parted, scratch, shingles, texts, word_hashes, words
 from tradewire.llm.components import components
 
 SKETCH = 64
@@ -136,11 +139,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(at, kind="stable")
     pattern = np.add.reduceat(tag[holder[order]], np.concatenate(([0], np.cumsum(held)[:-1])))
     shared = held > 1
-    _, first, group, weight = np.unique(pattern[shared], return_index=True, return_inverse=True, return_counts=True)
+    _, first, weight = np.unique(pattern[shared], return_index=True, return_counts=True)
     out = np.zeros((m, m))
     starts = np.concatenate(([0], np.cumsum(held)))
     column = np.flatnonzero(shared)[first]
-    del group
     for a in range(0, column.size, 2048):
         some = column[a : a + 2048]
         grid = np.zeros((m, some.size), np.float32)
@@ -178,18 +180,7 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt(rows, "grp").mapInArrow(run, "a long, b long, links long")
 
 
-def _only(rows: DataFrame, marks: Bitmap) -> DataFrame:
-    """The rows whose ``text_hash`` is marked: a join with the marked hashes need not move the others."""
-    shared = rows.sparkSession.sparkContext.broadcast(marks)  # of fixed size
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.holds(batch.column("text_hash").to_numpy().view(np.uint64))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 2, bucket: int = 512, group: int = 192) -> DataFrame:
+def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 6, bucket: int = 512, group: int = 192) -> DataFrame:
     """(uid, doc_id, text_hash, class_id, n_links, n_copies, kept) of each row of ``df``.
 
     class_id: the least id that links lead to; n_links: the other rows at ``threshold`` or more;
@@ -201,32 +192,38 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int =
 
     rate = 1 / (threshold * SKETCH)
     met = 1.0
-    for _ in range(depth):  # the chance that a pair at the threshold still shares a node, level by level
+    for _ in range(2):  # the chance that a pair at the threshold still shares a node after two levels
         met = 1 - math.exp(-met)
     runs = math.ceil(math.log(1 - recall) / math.log(1 - met))
 
-    edges = None
+    edges, used = None, []
     nodes = _children(reps, rate, runs, 1)
     for level in range(1, depth + 1):
         nodes = scratch(nodes)
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         shared = scratch(nodes.join(counts, "node").join(reps.select("rep", "sketch"), "rep"))
-        large = shared.where(F.col("n") > bucket) if level < depth else shared.where(F.lit(False))
+        discard(nodes)
+        used.append(shared)
         small = shared.where(F.col("n") <= bucket) if level < depth else shared
         some = _sketch_edges(paired(small, "n", bucket), threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH))
         edges = some if edges is None else edges.unionByName(some)
+        large = shared.where(F.col("n") > bucket)
         if level == depth or large.isEmpty():
             break
         nodes = _children(large, rate, runs, level + 1)
     groups = components(edges).withColumnsRenamed({"node": "rep", "component": "grp"})
+    discard(*used)
 
     # The shingles of the candidates only: their texts are found again by id and hash.
-    size = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    wanted = groups.join(size, "grp").join(reps.select("rep", "copies"), "rep")
-    wanted = scratch(wanted.join(rows.select(F.col("uid").alias("rep"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "rep"))
+    wanted = groups.join(reps.select("rep", "copies"), "rep").join(rows.select(F.col("uid").alias("rep"), F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "size"), "rep")
+    candidates = scratch(wanted)
+    # A block of a group is bounded in classes and, on average, in shingles.
+    weight = candidates.groupBy("grp").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / 10_000)).alias("n"))
+    wanted = scratch(candidates.join(weight, "grp"))
+    discard(candidates)
     source = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    source = _only(source, Bitmap(wanted, "__hash"))
-    source = source.join(wanted, source["doc_id"].eqNullSafe(wanted["__id"]) & (source["text_hash"] == wanted["__hash"])).select("rep", "grp", "n", "copies", "text")
+    source, _ = parted(source, "text_hash", Bitmap(wanted, "its_hash"), "text")
+    source = source.join(wanted, source["doc_id"].eqNullSafe(wanted["its_id"]) & (source["text_hash"] == wanted["its_hash"])).select("rep", "grp", "n", "copies", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -235,28 +232,34 @@ def join(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int =
 
     sets = scratch(source.mapInArrow(cut, "rep long, grp long, n long, copies long, shingles binary"))
     found = scratch(_exact(paired(sets, "n", group), threshold))
+    discard(wanted, sets)
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     classes = components(found.select("a", "b")).withColumnsRenamed({"node": "rep", "component": "top"})
 
-    known = reps.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left").withColumn("top", F.coalesce("top", "rep"))
+    # The right sides of both joins are tables, so that Spark can split the partition of a hot set or class.
+    known = scratch(reps.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left").withColumn("top", F.coalesce("top", "rep")))
+    discard(reps, found)
     out = rows.drop("sketch").join(known, ["k1", "k2"], "left").withColumn("top", F.coalesce("top", "uid"))
     out = scratch(out.select("uid", "doc_id", "text_hash", "top", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), (F.coalesce("copies", F.lit(1)) - 1).alias("n_copies")))
-    first = out.groupBy("top").agg(F.min("doc_id").alias("class_id"))
-    out = out.join(first, "top")
-    mine = out.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    text_of = mine.groupBy("top").agg(F.min("text_hash").alias("__first"))
-    return out.join(text_of, "top").select("uid", "doc_id", "text_hash", "class_id", "n_links", "n_copies", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("__first"))).alias("kept"))
+    discard(rows, known)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    first = scratch(out.groupBy("top").agg(least.alias("least")).select("top", F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("its_hash")))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("its_hash"))
+    return out.join(first, "top").select("uid", "doc_id", "text_hash", "class_id", "n_links", "n_copies", kept.alias("kept"))
 
 
 def keep_one(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` with one row of each class of linked texts."""
-    kept = join(df, doc_id=doc_id, text=text, **options).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__n"))
-    kept = scratch(kept)
-    hashed = df.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    out = hashed.join(kept, hashed[doc_id].eqNullSafe(kept["__id"]) & (hashed["__own"] == kept["__hash"])).drop("__id", "__hash", "__n")
-    if not kept.where("__n > 1").isEmpty():  # repeated rows: one of them stays
-        out = out.dropDuplicates([doc_id, "__own"])
-    return out.select(*df.columns)
+    """``df`` with one row of each class of linked texts. Only rows whose text some lost row has are moved."""
+    found = scratch(join(df, doc_id=doc_id, text=text, **options).groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
+    doubtful = found.where("not kept or n > 1")  # a class keeps a row of each (id, text) of its own or none
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(doc_id).alias("its_id"), F.xxhash64(body).alias("its_hash"), F.octet_length(body).alias("size"))
+    some, rest = parted(rows, "its_hash", Bitmap(doubtful, "text_hash"), "size")
+    kept = found.where("kept")
+    some = some.join(kept, some["its_id"].eqNullSafe(kept["doc_id"]) & (some["its_hash"] == kept["text_hash"]), "left_semi")
+    if not kept.where("n > 1").isEmpty():  # repeated rows: one of them stays
+        some = some.dropDuplicates(["its_id", "its_hash"])
+    return some.unionByName(rest).select("row.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
