@@ -8,7 +8,7 @@ tiles is its coverage; tiles may lie in any order, so reordered passages count i
 shorter than ``min_match`` must occur as one run.
 
 The benchmark is read in blocks of at most ``block_bytes`` of text; each block meets all
-documents, so nothing unbounded is broadcast and no item is left out.
+documents, one after another, so nothing unbounded is broadcast and no item is left out.
 
 Defined cases: null or empty documents match nothing; null or wordless items are ignored;
 repeated documents and items are judged each; an empty benchmark gives no matches; extra columns
@@ -22,13 +22,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tradewire.llm.common import STEP, mix64, texts, words
-
-MATCHES = "doc_id long, item_id long, coverage double, n_matched long, n_words long, n_tiles long, longest long"
-
+from tradewire.llm.common import STEP, blocks, discard, mix64, scratch, texts, words
 
 def tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
     """(start in item, start in doc, length) of the greedy tiling. Negative words in ``doc`` match nothing."""
@@ -90,7 +90,7 @@ def _codes_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """A bounded block of benchmark items, indexed by seed."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], least: int):
+    def __init__(self, rows: list[tuple[object, str]], least: int):
         self.least, self.ids, self.items, self.vocabulary = least, [], [], {}
         self.by_length: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in rows:
@@ -104,7 +104,7 @@ class Items:
         self.by_length = {n: dict(v) for n, v in self.by_length.items()}
         self.seeds = {n: np.array(sorted(v), np.uint64) for n, v in self.by_length.items()}
 
-    def matches(self, text: str, threshold: float) -> list[tuple[int | None, float, int, int, int, int]]:
+    def matches(self, text: str, threshold: float) -> list[tuple[object, float, int, int, int, int]]:
         """(item, coverage, words matched, words, tiles, longest tile) of each item with coverage from ``threshold``."""
         w = words(text)
         ids = np.fromiter(map(self.vocabulary.get, w, [0] * len(w)), np.int64, len(w))
@@ -138,7 +138,7 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, least: int, block_bytes: int) -> Iterator[Items]:
-    rows: list[tuple[int | None, str]] = []
+    rows: list[tuple[object, str]] = []
     held = 0
     for r in benchmark.select(F.col(item_id), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         rows.append((r[0], r[1]))
@@ -150,35 +150,73 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, least: int, block
         yield Items(rows, least)
 
 
+def _hits(df: DataFrame, items: Items, schema: T.StructType, threshold: float) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, …) of ``df`` (doc_id, text) with one block of items, and the block as it was sent out."""
+    shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes of text
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            rows = [(i, *m) for i, t in enumerate(texts(block, "text")) for m in shared.value.matches(t, threshold)]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            ids = block.column(0).take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids.cast(arrow.field(0).type), *[pa.array(c, f.type) for c, f in zip(columns[1:], list(arrow)[1:], strict=True)]], schema=arrow)
+
+    return df.mapInArrow(run, schema), shared
+
+
 def matches(df: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
-    """A row for each (document, item) whose coverage reaches ``threshold``."""
-    out = None
+    """A row for each (document, item) whose coverage reaches ``threshold``; ids keep their types.
+
+    A benchmark of one block is a map over the documents. Of more, one block at a time is sent out, and
+    its matches are written before the next is read.
+    """
+    longs = ("n_matched", "n_words", "n_tiles", "longest")
+    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType), T.StructField("coverage", T.DoubleType()), *[T.StructField(n, T.LongType()) for n in longs]])
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    done: DataFrame | None = None
+    last = None
     for items in item_blocks(benchmark, item_id, item_text, min_match, block_bytes):
-        shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes of text
+        if last is not None:
+            done = _written(done, *_hits(docs, last, schema, threshold))
+        last = items
+    if last is None:
+        return df.sparkSession.createDataFrame([], schema)
+    if done is None:
+        return _hits(docs, last, schema, threshold)[0]
+    return _written(done, *_hits(docs, last, schema, threshold))
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True) for m in shared.value.matches(t, threshold)]
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MATCHES.split(", ")])
 
-        one = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, MATCHES)
-        out = one if out is None else out.unionByName(one)
-    return df.sparkSession.createDataFrame([], MATCHES) if out is None else out
+def _written(done: DataFrame | None, hits: DataFrame, shared: Broadcast) -> DataFrame:
+    part = scratch(hits)
+    shared.destroy()
+    return part if done is None else done.unionByName(part)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = 5, threshold: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
-    """The rows of ``df`` that reach ``threshold`` with no item; no shuffle, no join."""
+    """The rows of ``df`` that reach ``threshold`` with no item; no shuffle, no join.
+
+    Of a benchmark of several blocks, one at a time is sent out; the rows left are written before the next.
+    """
+    last = None
     for items in item_blocks(benchmark, item_id, item_text, min_match, block_bytes):
-        shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes of text
+        if last is not None:
+            part, shared = _clean(df, text, last, threshold)
+            before, df = df, scratch(part)
+            shared.destroy()
+            discard(before)
+        last = items
+    return df if last is None else _clean(df, text, last, threshold)[0]
+
+
+def _clean(df: DataFrame, text: str, items: Items, threshold: float) -> tuple[DataFrame, Broadcast]:
+    shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes of text
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not shared.value.matches(t, threshold) for t in texts(batch, text)], pa.bool_()))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text):
+            yield block.filter(pa.array([not shared.value.matches(t, threshold) for t in texts(block, text)], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    return df.mapInArrow(run, df.schema), shared
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewire.llm.common import crc_mod, texts, with_fields
+from tradewire.llm.common import blocks, crc_mod, texts, with_fields
 
 UNKNOWN = "und"
 CHUNK = 1_000_000
@@ -149,7 +149,7 @@ class LanguageModel:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
-            for batch in batches:
+            for batch in blocks(batches, text):
                 found = [model.predict(x) for x in texts(batch, text)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*batch.schema.names, label_out, score_out])
 
@@ -169,7 +169,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", *, max_train_doc
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(d, np.int64)
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             for x in texts(batch, "text"):
                 total[features(x, bits)[0]] += 1
         at = total.nonzero()[0]
@@ -196,7 +196,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", *, max_train_doc
     bounds = {name: sorted(x)[:quota][-1] for name, x in lowest.items()}
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             found = [features(x, bits) for x in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([a.astype(np.uint32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["label", "at", "n"])
 

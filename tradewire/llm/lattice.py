@@ -3,8 +3,8 @@
 The pieces of an existing subword vocabulary span a lattice over each word (white space cuts
 words, as the vocabulary's own word mark does); characters it lacks are spelt in byte pieces. The
 forward recursion in log space sums over all segmentations. The vocabulary's scores are ranks, so
-they first become probabilities by Zipf's law and are then re-estimated for each label by a few
-expectation steps over the distinct training words of the whole corpus.
+they first become probabilities by Zipf's law and are then re-estimated for each label by an
+expectation step over the distinct training words of the whole corpus.
 
 A word seen in training is one more arc of the lattice: counts by label (language) back off to
 counts over all labels, and these to the label's lattice, with as much mass as words met once.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import crc_mod, scratch, texts
+from tradewire.llm.common import blocks, crc_mod, scratch, texts
 
 MARK = "▁"
 END = b""  # no word is empty
@@ -189,7 +189,7 @@ def _counts(df: DataFrame, labels: list[str], most: int = 250_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.binary()), pa.array([k] * len(counter), pa.int32()), pa.array(counter.values(), pa.int64())], names=["word", "k", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             for text, label, train in zip(texts(batch, "text"), batch.column("label").to_pylist(), batch.column("train").to_pylist(), strict=True):
                 c = held.setdefault(place.get(label, len(labels)) if train else -1, Counter())
                 c.update(words(text))
@@ -237,8 +237,12 @@ def _reestimated(table: DataFrame, lattice: Lattice) -> Lattice:
     return Lattice(lattice.pieces, np.log((counts + 500 * every[:, None]) / (counts.sum(axis=0) + 500)))
 
 
-def score(df: DataFrame, vocabulary: str, train: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", broadcast_words: int = 200_000, most_labels: int = 32, rounds: int = 3) -> DataFrame:
-    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of each row; learns from the rows where ``train`` holds."""
+def score(df: DataFrame, vocabulary: str, train: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", broadcast_words: int = 200_000, most_labels: int = 32, rounds: int = 1) -> DataFrame:
+    """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of each row; learns from the rows where ``train`` holds.
+
+    Each of the ``most_labels`` most frequent labels is a part of the mixture; rarer ones share one.
+    ``rounds``: expectation steps from the vocabulary's own scores.
+    """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label"), F.coalesce(train, F.lit(False)).alias("train"))
     per_label = docs.where("train").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()
@@ -292,7 +296,7 @@ def score(df: DataFrame, vocabulary: str, train: Column, *, doc_id: str = "doc_i
     def lookup(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, values = known.value
         none = len(values) - 1
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             n_tokens, sums, rare = [], [], []
             for text in texts(batch, "text"):
                 found = words(text)

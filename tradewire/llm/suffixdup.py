@@ -311,7 +311,7 @@ def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: i
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "raw"):
             raw = _raw(batch, "raw")
             t1, t2 = _digests(raw)
             yield pa.RecordBatch.from_arrays([*batch.columns, t1, t2], names=["doc_id", "raw", "t1", "t2"])

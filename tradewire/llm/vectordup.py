@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewire.llm.cells import cells, dealt, labels, paired
-from tradewire.llm.common import STEP, mix64, scratch
+from tradewire.llm.common import STEP, blocks, mix64, scratch
 from tradewire.llm.components import components
 
 
@@ -56,7 +56,7 @@ def near(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", th
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "vector"):
             raw, h1, h2 = [], [], []
             for v in batch.column("vector").to_pylist():
                 x = np.array(v if v else [np.nan], float)  # a null component becomes a NaN
@@ -72,7 +72,7 @@ def near(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", th
     reps = scratch(rows.where("raw is not null").groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "raw"):
             raw = batch.column("raw").to_pylist()
             rep = batch.column("rep").to_numpy()
             size = np.array([len(r) for r in raw])
