@@ -33,7 +33,7 @@ WINDOWS = [
 
 
 def test_windows(spark):
-    segs = explode_segments(parsed(spark, *[w[0] for w in WINDOWS]))
+    segs = parsed(spark, *[w[0] for w in WINDOWS])
     good, bad = {}, {}
     for r in W.messages(segs).orderBy("message_no").collect():
         good.setdefault(int(r.interchange_id), []).append(len(r.segments))
@@ -44,8 +44,10 @@ def test_windows(spark):
 
 
 def test_runs(spark):
-    segs = explode_segments(parsed(spark, "NAD+BY'NAD+SU'NAD+BY'QTY'NAD+BY'", "NAD+BY'NAD+BX'", "QTY'"))
-    assert {(r.interchange_id, r.contiguous) for r in W.contiguous(segs, "NAD", "B*").collect()} == {("0", False), ("1", True), ("2", True)}
+    rows = parsed(spark, "NAD+BY'NAD+SU'NAD+BY'QTY'NAD+BY'", "NAD+BY'NAD+BX'", "QTY'")
+    segs = explode_segments(rows)
+    assert {r.interchange_id: len(r.segments) for r in W.gathered(segs).collect()} == {"0": 5, "1": 2, "2": 1}
+    assert {(r.interchange_id, r.contiguous) for r in W.contiguous(rows, "NAD", "B*").collect()} == {("0", False), ("1", True), ("2", True)}
     assert W.runs(segs, "NAD", "BY").agg(F.max("run")).first()[0] == 2
 
 

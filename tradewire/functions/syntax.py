@@ -36,17 +36,17 @@ class ServiceChars:
 DEFAULT = ServiceChars()
 
 
-def service_chars(content: Column) -> Column:
-    """Struct of the five characters that hold for the text."""
-    named = content.startswith("UNA") & (F.length(content) >= 9)
+def service_chars(content: Column, named: Column | None = None) -> Column:
+    """Struct of the five characters that hold for the text; ``named``: whether it begins with a header."""
+    named = content.startswith("UNA") & (F.octet_length(content) >= 9) if named is None else named
     pick = lambda at, default: F.when(named, F.substring(content, at, 1)).otherwise(F.lit(default))
     return F.struct(pick(4, ":").alias("component"), pick(5, "+").alias("element"), pick(6, ".").alias("decimal"), pick(7, "?").alias("release"), pick(9, "'").alias("terminator"), named.alias("named"))
 
 
 def service_valid(ssa: Column) -> Column:
-    """The four active characters differ and none is white space."""
+    """The four active characters differ, and each is one ASCII byte other than white space."""
     active = F.array(ssa["component"], ssa["element"], ssa["release"], ssa["terminator"])
-    return (F.size(F.array_distinct(active)) == 4) & ~F.exists(active, lambda c: c.isin(" ", "\t", "\r", "\n"))
+    return (F.size(F.array_distinct(active)) == 4) & ~F.exists(active, lambda c: c.isin(" ", "\t", "\r", "\n") | (c > F.lit("\x7f")))
 
 
 def quoted(c: Column | str) -> Column | str:
@@ -63,12 +63,12 @@ def after_each(separator: Column | str, release: Column | str) -> Column:
 
 
 def up_to_each(terminator: Column | str, release: Column | str) -> Column:
-    """Pattern of a run that ends with a live ``terminator`` and begins where the last one ended."""
+    """Pattern whose group 1 is what comes before each live ``terminator``, from where the last one ended."""
     t, r = quoted(terminator), quoted(release)
     if isinstance(t, str) and isinstance(r, str):
-        return F.lit(rf"(?s)\G(?:[^{t}{r}]++|{r}.)*+{t}")
+        return F.lit(rf"(?s)\G((?:[^{t}{r}]++|{r}.)*+){t}")
     t, r = (F.lit(x) if isinstance(x, str) else x for x in (t, r))
-    return F.concat(F.lit(r"(?s)\G(?:[^"), t, r, F.lit("]++|"), r, F.lit(".)*+"), t)
+    return F.concat(F.lit(r"(?s)\G((?:[^"), t, r, F.lit("]++|"), r, F.lit(".)*+)"), t)
 
 
 def unescape(value: Column, release: Column | str = "?") -> Column:
@@ -94,6 +94,17 @@ def glob(value: Column, pattern: str) -> Column:
 
 
 def decimal_text(value: Column) -> Column:
-    """Numbers without an exponent and without a fraction of zero, as emitters write them."""
-    plain = F.regexp_replace(F.format_string("%s", value.cast("decimal(38,18)").cast("string")), r"(\.\d*?)0+$", "$1")
-    return F.regexp_replace(plain, r"\.$", "")
+    """Numbers of any size in the fewest digits, without an exponent and without a fraction of zero, as emitters write them."""
+    s = value.cast("string")
+    strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    parts = F.split(s, "E")
+    sign = F.when(s.startswith("-"), "-").otherwise("")
+    digits = F.rtrim(F.regexp_replace(F.element_at(parts, 1), "[-.]", ""), F.lit("0"))
+    point = F.try_element_at(parts, F.lit(2)).try_cast("int") + 1  # Java writes one digit before the point
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - n))
+    inner = F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
+    long_ = F.concat(sign, F.when(point <= 0, small).when(point >= n, large).otherwise(inner))
+    special = F.when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").when(s == "NaN", "NaN")
+    return F.when(special.isNotNull(), special).when(s.contains("E"), long_).otherwise(F.when(s.contains("."), strip(s)).otherwise(s))

@@ -1,16 +1,25 @@
-"""Text to segments, in built-in expressions only.
+"""Text to segments, in built-in expressions.
 
 ``parse`` keeps a row for each interchange with its segments as an array: no shuffle, however many
 rows there are. ``explode_segments`` turns them into rows; ``tokens`` and ``events`` go on from
 there. Errors are data: the first one of an interchange stands in ``error`` and, in the modes of a
 reader, ends its segments.
 
-Spans count bytes of the input. They are only worked out if ``spans`` is set; the text is then
-read as ISO-8859-1, so that a character is a byte, and values are decoded as UTF-8 at the end.
+A text without a release character is cut by ``split`` at every level; only the segments of other
+texts that hold one are matched by regular expressions. The result passes a ``Generate`` of one row, below which
+Catalyst pushes no predicate on it: filters and joins on segments and errors never evaluate the
+parse again, while filters on the other columns still reach the scan.
+
+Offsets and lengths count bytes of the input. A content that is not UTF-8 is read as ISO-8859-1, so
+that a character is a byte, and its values are decoded at the end. With ``spans`` the
+starts of the segments are running sums of their sizes, the one step without a built-in function:
+the sizes alone pass through an Arrow UDF.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +27,16 @@ from tradewire.errors import EdiError, error, no_error, text
 from tradewire.functions.syntax import DEFAULT, ServiceChars, after_each, quoted, service_chars, service_valid, unescape, up_to_each
 
 MAX_SEGMENT_BYTES = 65_536
+BLANKS = " \t\r\n"
+REST = 1 << 30
+
+
+def free_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name one that no column of ``df`` has."""
+    lead = "_"
+    while any(c.lower().startswith(lead + n) for c in df.columns for n in names):
+        lead += "_"
+    return {n: lead + n for n in names}
 
 
 def _fields(chars: ServiceChars | Column) -> dict[str, Column | str]:
@@ -29,58 +48,78 @@ def _lit(x: Column | str) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def _element_texts(raw: Column, c: dict) -> Column:
-    """The element texts of a segment without its terminator; raw still has the tag."""
-    rest = raw.substr(F.lit(4), F.length(raw))
-    slow = F.regexp_extract_all(rest, after_each(c["element"], c["release"]), F.lit(1))
-    if isinstance(c["element"], Column):
-        return F.when(rest == "", F.array().cast("array<string>")).otherwise(slow)
-    quick = F.split(rest.substr(F.lit(2), F.length(rest)), "\\" + c["element"], -1)
-    return F.when(rest == "", F.array().cast("array<string>")).when(rest.contains(c["release"]), slow).otherwise(quick)
+def _ltrim(x: Column) -> Column:
+    return F.ltrim(x, F.lit(BLANKS))
+
+
+def _element_texts(body: Column, c: dict, plain: bool) -> Column:
+    """The element texts of a segment without its terminator; it still has the tag."""
+    quick = F.slice(F.split(body, quoted(c["element"]), -1), 2, REST)
+    if plain:
+        return quick
+    slow = F.regexp_extract_all(F.substring(body, 4, REST), after_each(c["element"], c["release"]), F.lit(1))
+    return F.when(body.contains(_lit(c["release"])), slow).otherwise(quick)
 
 
-def _component_texts(element: Column, c: dict) -> Column:
+def _component_texts(element: Column, c: dict, plain: bool) -> Column:
+    quick = F.split(element, quoted(c["component"]), -1)
+    if plain:
+        return quick
     slow = F.regexp_extract_all(F.concat(_lit(c["component"]), element), after_each(c["component"], c["release"]), F.lit(1))
-    if isinstance(c["component"], Column):
-        return slow
-    return F.when(element.contains(c["release"]), slow).otherwise(F.split(element, "\\" + c["component"], -1))
+    return F.when(element.contains(_lit(c["release"])), slow).otherwise(quick)
 
 
-def _value(component: Column, c: dict, latin: bool) -> Column:
-    v = unescape(component, c["release"])
-    return F.decode(F.encode(v, "ISO-8859-1"), "UTF-8") if latin else v
+def _values(components: Column, c: dict, utf8: bool) -> Column:
+    """Unescaped values; of a text read as ISO-8859-1 also decoded."""
+    one = lambda x: unescape(x, c["release"])
+    return F.transform(components, one if utf8 else lambda x: F.decode(F.encode(one(x), "ISO-8859-1"), "UTF-8"))
 
 
 def _span(start: Column, size: Column) -> Column:
     return F.struct(start.cast("long").alias("start"), (start + size).cast("long").alias("end"))
 
 
-def _starts(texts: Column, first: Column) -> Column:
-    """Where each text begins, if one separator stands between them."""
-    return F.transform(texts, lambda _, i: F.aggregate(F.slice(texts, F.lit(1), i), first, lambda a, t: a + F.length(t) + 1))
+def _bytes(x: Column, utf8: bool) -> Column:
+    return F.octet_length(x) if utf8 else F.length(x)
 
 
-def segment_struct(raw: Column, start: Column, seq: Column, chars: ServiceChars | Column = DEFAULT, spans: bool = False) -> Column:
-    """The struct of one segment; ``raw``: its text with the terminator, ``start``: its place."""
-    c = _fields(chars)
-    body = raw.substr(F.lit(1), F.length(raw) - 1)
-    elements = _element_texts(body, c)
-    if not spans:
-        made = F.transform(elements, lambda e: F.struct(F.transform(_component_texts(e, c), lambda x: _value(x, c, False)).alias("components")))
-        return F.struct(seq.cast("long").alias("seq"), F.substring(raw, 1, 3).alias("tag"), made.alias("elements"))
-    at = _starts(elements, start.cast("long") + 4)
+def _starts(texts: Column, first: Column, utf8: bool) -> Column:
+    """Where each text begins, if one separator stands between them. Within one segment, whose size is bounded."""
+    return F.transform(texts, lambda _, i: F.aggregate(F.slice(texts, F.lit(1), i), first, lambda a, t: a + _bytes(t, utf8) + 1))
+
+
+def segment_struct(body: Column, seq: Column, c: dict, *, plain: bool = False, utf8: bool = True, start: Column | None = None, end: Column | None = None) -> Column:
+    """The struct of one segment; ``body``: its text without the terminator; ``start`` and ``end``, its places in bytes, add spans."""
+    elements = _element_texts(body, c, plain)
+    parts = lambda e: _component_texts(e, c, plain)
+    values = lambda p: p if plain and utf8 else _values(p, c, utf8)
+    head = [seq.cast("long").alias("seq"), F.substring(body, 1, 3).alias("tag")]
+    if start is None or end is None:
+        return F.struct(*head, F.transform(elements, lambda e: F.struct(values(parts(e)).alias("components"))).alias("elements"))
 
     def one(pair: Column) -> Column:
-        parts = _component_texts(pair["t"], c)
-        places = F.arrays_zip(parts.alias("p"), _starts(parts, pair["a"]).alias("a"))
-        return F.struct(
-            _span(pair["a"], F.length(pair["t"])).alias("span"),
-            F.transform(parts, lambda x: _value(x, c, True)).alias("components"),
-            F.transform(places, lambda x: _span(x["a"], F.length(x["p"]))).alias("component_spans"),
-        )
+        p = parts(pair["t"])
+        places = F.arrays_zip(p.alias("p"), _starts(p, pair["a"], utf8).alias("a"))
+        return F.struct(_span(pair["a"], _bytes(pair["t"], utf8)).alias("span"), values(p).alias("components"), F.transform(places, lambda x: _span(x["a"], _bytes(x["p"], utf8))).alias("component_spans"))
+
+    made = F.transform(F.arrays_zip(elements.alias("t"), _starts(elements, start.cast("long") + 4, utf8).alias("a")), one)
+    return F.struct(*head, F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")).alias("span"), _span(start, F.lit(3)).alias("tag_span"), made.alias("elements"))
+
 
-    made = F.transform(F.arrays_zip(elements.alias("t"), at.alias("a")), one)
-    return F.struct(seq.cast("long").alias("seq"), F.substring(raw, 1, 3).alias("tag"), _span(start, F.length(raw)).alias("span"), _span(start, F.lit(3)).alias("tag_span"), made.alias("elements"))
+def _running(sizes: Column, head: Column) -> Column:
+    """``head`` and the sums of the sizes before each place."""
+
+    @F.arrow_udf("array<long>")
+    def run(lists: pa.Array, first: pa.Array) -> pa.Array:
+        n = np.array([len(x) if x is not None else 0 for x in lists])
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(flat)
+        edges = np.concatenate(([0], np.cumsum(n)))
+        before = np.concatenate(([0], ends))
+        base = first.to_numpy(zero_copy_only=False) - before[edges[:-1]]
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(before[:-1] + np.repeat(base, n), pa.int64()))
+
+    return run(sizes, head)
 
 
 def parse(
@@ -92,6 +131,7 @@ def parse(
     unterminated: str = "error",
     mode: str = "PERMISSIVE",
     max_segment_bytes: int = MAX_SEGMENT_BYTES,
+    service: bool = False,
 ) -> DataFrame:
     """``df`` without ``content``, with ``segments`` and ``error``.
 
@@ -100,127 +140,147 @@ def parse(
     release character) or "accept".
     mode: PERMISSIVE keeps the segments before the error and the error, DROPMALFORMED drops the
     interchange, FAILFAST makes the query fail.
+    service: also a column ``service``, the struct of the characters that hold for the text.
     """
     if unterminated not in ("error", "accept") or mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
         raise ValueError("unterminated: error or accept; mode: PERMISSIVE, DROPMALFORMED or FAILFAST")
     if isinstance(chars, ServiceChars) and not chars.valid():
         raise EdiError("E007", text("E007"))
-    binary = dict(df.dtypes)[content] == "binary"
-    latin = spans or binary
-    body = F.decode(F.col(content).cast("binary"), "ISO-8859-1") if latin else F.col(content)
-    rows = df.withColumn("__text", F.coalesce(body, F.lit("")))
-    lead = F.length("__text") - F.length(F.regexp_replace("__text", r"^[ \t\r\n]+", ""))
-    rows = rows.withColumn("__lead", F.when(F.col("__text").rlike(r"^[ \t\r\n]"), lead).otherwise(F.lit(0)))
-    rows = rows.withColumn("__text", F.when(F.col("__lead") > 0, F.col("__text").substr(F.col("__lead") + 1, F.length("__text"))).otherwise(F.col("__text")))
-    una = F.col("__text").startswith("UNA") & (F.length("__text") >= 9)
+    name = free_names(df, "utf8", "text", "una", "total", "chars", "plain", "raws", "used", "tail", "bodies", "trimmed", "starts", "bad", "kept", "made")
+    col = {k: F.col(v) for k, v in name.items()}
+    raw = F.col(content)
+    as_text = raw.cast("string")
+    utf8 = col["utf8"]
+    size = lambda x: F.when(utf8, F.octet_length(x)).otherwise(F.length(x))
+    rows = df.withColumn(name["utf8"], F.coalesce(F.is_valid_utf8(as_text), F.lit(True)))
+    rows = rows.withColumn(name["text"], F.coalesce(F.when(utf8, as_text).otherwise(F.decode(raw.cast("binary"), "ISO-8859-1")), F.lit("")))
+    rows = rows.withColumns({name["total"]: size(col["text"]), name["text"]: _ltrim(col["text"])})
+    rows = rows.withColumn(name["una"], col["text"].startswith("UNA") & (size(col["text"]) >= 9))
     bad_una: Column = F.lit(False)
     held: ServiceChars | Column = chars or DEFAULT
     if chars is None:
-        rows = rows.withColumn("__chars", service_chars(F.col("__text")))
-        held = F.col("__chars")
+        rows = rows.withColumn(name["chars"], service_chars(col["text"], col["una"]))
+        held = col["chars"]
         bad_una = ~service_valid(held)
     c = _fields(held)
-    rows = rows.withColumn("__head", F.col("__lead") + F.when(una, F.lit(9)).otherwise(F.lit(0)))
-    rows = rows.withColumn("__text", F.when(una, F.col("__text").substr(F.lit(10), F.length("__text"))).otherwise(F.col("__text")))
-    rows = rows.withColumn("__raws", F.regexp_extract_all("__text", up_to_each(c["terminator"], c["release"]), F.lit(0)))
+    rows = rows.withColumn(name["text"], F.when(col["una"], _ltrim(F.substring(col["text"], 10, REST))).otherwise(col["text"]))
+    head = col["total"] - size(col["text"])
+    release = _lit(c["release"])
+    rows = rows.withColumn(name["plain"], ~col["text"].contains(release))
+    rows = rows.withColumn(name["raws"], F.when(col["plain"], F.split(col["text"], quoted(c["terminator"]), -1)).otherwise(F.regexp_extract_all(col["text"], up_to_each(c["terminator"], c["release"]), F.lit(1))))
+    rows = rows.withColumn(name["used"], F.when(~col["plain"], F.aggregate(col["raws"], F.lit(0), lambda a, r: a + F.length(r) + 1)))
 
     # What follows the last terminator.
-    used = F.aggregate("__raws", F.lit(0), lambda a, r: a + F.length(r))
-    rows = rows.withColumn("__used", used)
-    tail = F.col("__text").substr(F.col("__used") + 1, F.length("__text"))
-    rows = rows.withColumn("__tail", F.when(F.col("__used") < F.length("__text"), F.regexp_replace(tail, r"^[ \t\r\n]+", "")).otherwise(F.lit("")))
-    end = (F.col("__head") + F.length("__text")).cast("long")
-    lone = F.length(F.regexp_extract("__tail", _lone(c["release"]), 1)) % 2 == 1
-    last = F.when(F.col("__tail") == "", no_error()).when(lone, error("E019", offset=end - 1))
+    rows = rows.withColumn(name["tail"], F.when(col["plain"], F.element_at(col["raws"], -1)).otherwise(F.substr(col["text"], col["used"] + 1)))
+    rest = _ltrim(col["tail"])
+    lone = ~col["plain"] & ((F.length(col["tail"]) - F.length(F.rtrim(col["tail"], release))) % 2 == 1)
+    last = F.when(rest == "", no_error()).when(lone, error("E019", offset=(col["total"] - 1).cast("long")))
+    bodies = F.when(col["plain"], F.slice(col["raws"], F.lit(1), F.size(col["raws"]) - 1)).otherwise(col["raws"])
     if unterminated == "error":
-        last = last.otherwise(error("E001", offset=end))
+        last = last.otherwise(error("E001", offset=col["total"].cast("long")))
     else:
         last = last.otherwise(no_error())
-        rows = rows.withColumn("__raws", F.when((F.col("__tail") != "") & ~lone, F.concat("__raws", F.array(F.concat(F.col("__tail"), _lit(c["terminator"]))))).otherwise(F.col("__raws")))
+        bodies = F.when((rest != "") & ~lone, F.concat(bodies, F.array(col["tail"]))).otherwise(bodies)
+    rows = rows.withColumn(name["bodies"], bodies)
 
     # Each segment's own text without the blanks before it.
-    trimmed = lambda r: F.when(r.rlike(r"^[ \t\r\n]"), F.regexp_replace(r, r"^[ \t\r\n]+", "")).otherwise(r)
-    if latin:
-        starts = _running(F.col("__raws"), F.col("__head"))
-        pairs = F.transform(F.arrays_zip(F.col("__raws").alias("r"), starts.alias("a")), lambda x: F.struct(trimmed(x["r"]).alias("r"), (x["a"] + F.length(x["r"]) - F.length(trimmed(x["r"]))).alias("a")))
-    else:
-        pairs = F.transform("__raws", lambda r: F.struct(trimmed(r).alias("r"), F.lit(None).cast("int").alias("a")))
-    rows = rows.withColumn("__pairs", pairs)
+    blank = F.lit(False)
+    for b in BLANKS:
+        blank = blank | col["text"].contains(F.concat(_lit(c["terminator"]), F.lit(b)))
+    rows = rows.withColumn(name["trimmed"], F.when(blank, F.transform(col["bodies"], _ltrim)).otherwise(col["bodies"]))
+    if spans:
+        rows = rows.withColumn(name["starts"], _running(F.transform(col["bodies"], lambda b: (size(b) + 1).cast("long")), head.cast("long")))
+
+    # The first segment that breaks a rule.
     good_tag = _tag_pattern(c)
-    wrong = lambda p: ~F.rlike(p["r"], good_tag) | (F.length(p["r"]) > max_segment_bytes)
-    if latin:
-        wrong_text = lambda p: ~F.is_valid_utf8(F.encode(p["r"], "ISO-8859-1").cast("string"))
-        any_wrong = lambda p: wrong(p) | (p["r"].rlike("[\\x80-\\xff]") & wrong_text(p))
-    else:
-        any_wrong = wrong
-    rows = rows.withColumn("__bad", F.when(F.exists("__pairs", any_wrong), F.array_position(F.transform("__pairs", any_wrong), True)).otherwise(F.lit(0)))
-    p = F.get("__pairs", F.col("__bad").cast("int") - 1)
-    tag = _before(p["r"], c)
-    offset = F.coalesce(p["a"].cast("long"), F.lit(0).cast("long"))
+    wrong_tag = lambda b: ~F.rlike(b, good_tag)
+    too_long = lambda b: size(b) + 1 > max_segment_bytes
+    not_text = lambda b: ~F.is_valid_utf8(F.encode(b, "ISO-8859-1").cast("string"))
+    wrong = lambda b: wrong_tag(b) | too_long(b) | (~utf8 & not_text(b))
+    some = F.exists(col["trimmed"], wrong_tag) | ((col["total"] > max_segment_bytes) & F.exists(col["trimmed"], too_long)) | ~utf8
+    rows = rows.withColumn(name["bad"], F.when(some, F.coalesce(F.array_position(F.transform(col["trimmed"], wrong), True), F.lit(0))).otherwise(F.lit(0)).cast("int"))
+    at = col["bad"] - 1
+    body, own = F.get(col["bodies"], at), F.get(col["trimmed"], at)
+    offset = (F.aggregate(F.slice(col["bodies"], F.lit(1), at), head, lambda a, b: a + size(b) + 1) + size(body) - size(own)).cast("long")
+    tag = _before(own, c)
     first = (
-        F.when(F.length(p["r"]) > max_segment_bytes, error("E020", offset=offset, limit=max_segment_bytes))
-        .when(tag == "", error("E002", offset=offset, byte=F.hex(F.encode(F.substring(p["r"], 1, 1), "ISO-8859-1"))))
-        .when(~F.rlike(p["r"], good_tag), error("E006", tag=F.concat(F.lit('"'), tag, F.lit('"'))))
+        F.when(too_long(own), error("E020", offset=offset, limit=max_segment_bytes))
+        .when(tag == "", error("E002", offset=offset, byte=F.hex(F.encode(F.coalesce(F.nullif(F.substring(own, 1, 1), F.lit("")), _lit(c["terminator"])), "ISO-8859-1"))))
+        .when(wrong_tag(own), error("E006", tag=F.concat(F.lit('"'), tag, F.lit('"'))))
         .otherwise(error("E003", offset=offset))
     )
-    first = F.when(bad_una, error("E007")).when(F.col("__bad") > 0, first).otherwise(last)
-    kept = F.when(bad_una, F.slice("__pairs", 1, 0)).when(F.col("__bad") > 0, F.slice("__pairs", F.lit(1), F.col("__bad").cast("int") - 1)).otherwise(F.col("__pairs"))
-    rows = rows.withColumn("__kept", kept)
-    latin_values = latin and not spans
-
-    def build(x: Column, i: Column) -> Column:
-        out = segment_struct(x["r"], x["a"], i, held, spans)
-        if latin_values:
-            utf8 = F.transform(out["elements"], lambda e: F.struct(F.transform(e["components"], lambda v: F.decode(F.encode(v, "ISO-8859-1"), "UTF-8")).alias("components")))
-            return F.struct(out["seq"].alias("seq"), out["tag"].alias("tag"), utf8.alias("elements"))
-        return out
+    first = F.when(bad_una, error("E007")).when(col["bad"] > 0, first).otherwise(last)
+    cut = lambda x: F.when(bad_una, F.slice(x, 1, 0)).when(col["bad"] > 0, F.slice(x, F.lit(1), at)).otherwise(x)
+    if spans:
+        pairs = F.arrays_zip(col["trimmed"].alias("b"), col["bodies"].alias("r"), col["starts"].alias("a"))
+        placed = F.transform(pairs, lambda p: F.struct(p["b"].alias("b"), (p["a"] + size(p["r"]) - size(p["b"])).alias("a")))
+        rows = rows.withColumn(name["kept"], cut(placed))
+    else:
+        rows = rows.withColumn(name["kept"], cut(col["trimmed"]))
 
-    rows = rows.withColumns({"segments": F.transform("__kept", build), "error": first})
-    if mode == "DROPMALFORMED":
-        rows = rows.where(F.col("error").isNull())
-    elif mode == "FAILFAST":
-        failed = F.raise_error(F.concat(F.col("error")["code"], F.lit(": "), F.col("error")["message"]))
-        rows = rows.withColumn("segments", F.when(F.col("error").isNotNull(), failed.cast(rows.schema["segments"].dataType)).otherwise(F.col("segments")))
-    keep = [x for x in df.columns if x != content]
-    return rows.select(*keep, "segments", "error")
+    def build(plain: bool, as_utf8: bool) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            if not spans:
+                return segment_struct(x, i, c, plain=plain, utf8=as_utf8)
+            end = F.least(x["a"] + _bytes(x["b"], as_utf8) + 1, col["total"].cast("long"))
+            return segment_struct(x["b"], i, c, plain=plain, utf8=as_utf8, start=x["a"], end=end)
 
+        return F.transform(col["kept"], of)
 
-def _running(raws: Column, head: Column) -> Column:
-    """Start of each text in one pass: the running sums as an array, grown by a fold."""
-    return F.aggregate(raws, F.struct(F.array().cast("array<int>").alias("out"), head.cast("int").alias("at")), lambda a, r: F.struct(F.concat(a["out"], F.array(a["at"])).alias("out"), (a["at"] + F.length(r)).alias("at")), lambda a: a["out"])
+    segments = F.when(col["plain"] & utf8, build(True, True)).when(utf8, build(False, True)).otherwise(build(False, False))
+    if mode == "FAILFAST":
+        failed = F.raise_error(F.concat(first["code"], F.lit(": "), first["message"]))
+        segments = F.when(first.isNotNull(), failed.cast(_segments_type(spans))).otherwise(segments)
+    made = [segments.alias("segments"), first.alias("error")]
+    if service:
+        own_chars = held if isinstance(held, Column) else F.struct(*[F.lit(getattr(held, n)).alias(n) for n in ("component", "element", "decimal", "release", "terminator")], F.lit(True).alias("named"))
+        made.append(own_chars.alias("service"))
+    keep = [F.col(f"`{x}`") for x in df.columns if x != content]
+    out = rows.select(*keep, F.explode_outer(F.array(F.struct(*made))).alias(name["made"])).select(*keep, f"{name['made']}.*")
+    return out.where(F.col("error").isNull()) if mode == "DROPMALFORMED" else out
 
 
-def _lone(release: Column | str) -> str:
-    r = release if isinstance(release, str) else "?"
-    return "(\\" + r + "*)$"
+def _segments_type(spans: bool) -> str:
+    span = "struct<start:bigint,end:bigint>"
+    if spans:
+        return f"array<struct<seq:bigint,tag:string,span:{span},tag_span:{span},elements:array<struct<span:{span},components:array<string>,component_spans:array<{span}>>>>>"
+    return "array<struct<seq:bigint,tag:string,elements:array<struct<components:array<string>>>>>"
 
 
 def _tag_pattern(c: dict) -> Column:
-    """Three capital letters, then a separator or the terminator."""
-    if isinstance(c["element"], str):
-        return F.lit("^[A-Z]{3}[\\" + c["element"] + "\\" + c["terminator"] + "]")
-    return F.concat(F.lit("^[A-Z]{3}["), quoted(c["element"]), quoted(c["terminator"]), F.lit("]"))
+    """Three capital letters, then an element separator or the end."""
+    e = quoted(c["element"])
+    return F.lit(rf"^[A-Z]{{3}}(?:{e}|\z)") if isinstance(e, str) else F.concat(F.lit("^[A-Z]{3}(?:"), e, F.lit(r"|\z)"))
 
 
-def _before(raw: Column, c: dict) -> Column:
-    """The tag: what stands before the first element separator, or before the terminator."""
-    body = raw.substr(F.lit(1), F.length(raw) - 1)
-    return F.substring_index(body, c["element"], 1) if isinstance(c["element"], str) else F.element_at(F.split(body, quoted(c["element"]), -1), 1)
+def _before(body: Column, c: dict) -> Column:
+    """The tag: what stands before the first element separator, or all."""
+    return F.element_at(F.split(body, quoted(c["element"]), -1), 1)
 
 
 def explode_segments(parsed: DataFrame) -> DataFrame:
     """A row for each segment: the other columns, then seq, tag, elements (and spans)."""
-    keep = [c for c in parsed.columns if c not in ("segments", "error")]
-    return parsed.select(*keep, F.explode("segments").alias("__s")).select(*keep, "__s.*")
+    keep = [F.col(f"`{c}`") for c in parsed.columns if c not in ("segments", "error")]
+    name = free_names(parsed, "one")["one"]
+    return parsed.select(*keep, F.explode("segments").alias(name)).select(*keep, f"{name}.*")
+
+
+def shifted(segments: Column, by: Column | int) -> Column:
+    """Segments with spans, all moved by a number of bytes: for a text that is part of a larger one."""
+    by = by if isinstance(by, Column) else F.lit(by)
+    move = lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"))
+    element = lambda e: F.struct(move(e["span"]).alias("span"), e["components"].alias("components"), F.transform(e["component_spans"], move).alias("component_spans"))
+    return F.transform(segments, lambda s: F.struct(s["seq"].alias("seq"), s["tag"].alias("tag"), move(s["span"]).alias("span"), move(s["tag_span"]).alias("tag_span"), F.transform(s["elements"], element).alias("elements")))
 
 
 def tokens(segments: DataFrame) -> DataFrame:
     """(…, seq, pos, kind, value): the token stream of exploded segments, in order of (seq, pos)."""
     keep = [c for c in segments.columns if c not in ("tag", "elements", "span", "tag_span")]
+    name = free_names(segments, "token")["token"]
     token = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     inner = F.flatten(F.transform("elements", lambda e: F.transform(e["components"], lambda v, i: F.struct(F.when(i == 0, "element").otherwise("component").alias("kind"), v.alias("value")))))
     all_ = F.concat(F.array(token("tag", F.col("tag"))), inner, F.array(token("terminator", F.lit(None).cast("string"))))
-    return segments.select(*keep, F.posexplode(all_).alias("pos", "__t")).select(*keep, "pos", "__t.kind", "__t.value")
+    return segments.select(*keep, F.posexplode(all_).alias("pos", name)).select(*keep, "pos", f"{name}.kind", f"{name}.value")
 
 
 def events(segments: DataFrame) -> DataFrame:

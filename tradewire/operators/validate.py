@@ -77,6 +77,38 @@ def _codes() -> list[str]:
     return list(CATALOGUE)
 
 
+CodeRule = str | tuple[tuple[int, int, str], ...]
+
+
+def places(rule: CodeRule) -> tuple[tuple[int, int, str], ...]:
+    """(element, component, data element) of each checked place; a name alone stands for place (0, 0)."""
+    return ((0, 0, rule),) if isinstance(rule, str) else tuple(rule)
+
+
+def code_table_issues(messages: DataFrame, codes: DataFrame, rules: dict[str, CodeRule] = BASE_CODE_RULES, suggestions: DataFrame | None = None) -> DataFrame:
+    """Issues of code lists that are tables of any size: the messages' other columns and the fields of ISSUE.
+
+    codes: (data_element, code); suggestions: (data_element, code, suggestion). A data element without
+    codes is not checked. Values are joined with the table, one row for each value checked.
+    """
+    spans = "span" in messages.schema["segments"].dataType.elementType.names
+    keep = [c for c in messages.columns if c not in ("segments", "error")]
+    # One row a place, tag and all: the rules are few and stand in the plan.
+    every = [(tag, *p) for tag, rule in rules.items() for p in places(rule)]
+
+    def of(seg: Column) -> Column:
+        found = [F.when(seg["tag"] == tag, F.struct(F.lit(e).alias("element"), F.lit(name).alias("data_element"), F.get(F.get(seg["elements"], F.lit(e))["components"], F.lit(c)).alias("value"), seg["tag"].alias("tag"), (seg["span"]["start"] if spans else F.lit(None).cast("long")).alias("at"))) for tag, e, c, name in every]
+        return F.filter(F.array(*found), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+
+    checked = messages.select(F.struct(*keep).alias("row"), F.explode(F.flatten(F.transform("segments", of))).alias("x")).select("row", "x.*")
+    listed = codes.select("data_element").distinct()
+    unknown = checked.join(listed, "data_element", "left_semi").join(codes.select("data_element", F.col("code").alias("value")), ["data_element", "value"], "left_anti")
+    hints = suggestions.select("data_element", F.col("code").alias("value"), "suggestion") if suggestions is not None else None
+    unknown = unknown.withColumn("suggestion", F.lit(None).cast("string")) if hints is None else unknown.join(hints, ["data_element", "value"], "left")
+    err = error("E014", tag=F.col("tag"), element_index=F.col("element"), value=F.col("value"), code_list=F.col("data_element"), offset=F.col("at"))
+    return unknown.withColumn("err", err).select("row.*", issue_of(F.col("err"), F.col("suggestion")).alias("issue")).select(*keep, "issue.*")
+
+
 @dataclass(frozen=True)
 class ElementRef:
     """position counts from one."""
@@ -102,8 +134,8 @@ class DirectoryValidator:
     directory_id: str = "D"
     definitions: tuple[SegmentDefinition, ...] = ()
     codes: dict[str, tuple[str, ...]] = field(default_factory=dict)  # data element -> valid codes
-    suggestions: dict[str, str] = field(default_factory=dict)  # data element -> hint
-    code_rules: dict[str, str] = field(default_factory=lambda: dict(BASE_CODE_RULES))
+    suggestions: dict[str, str | dict[str, str]] = field(default_factory=dict)  # data element -> hint, or value -> hint
+    code_rules: dict[str, CodeRule] = field(default_factory=lambda: dict(BASE_CODE_RULES))
     extra_rule: Callable[[Column], Column] | None = None  # segment -> error struct or null
     structure: bool = True
     code_list: bool = True
@@ -112,7 +144,7 @@ class DirectoryValidator:
 
     def __post_init__(self) -> None:
         if len(self.definitions) > MOST_SEGMENT_TYPES or sum(map(len, self.codes.values())) > MOST_CODES:
-            raise ValueError("a directory of this size belongs in a table")
+            raise ValueError("a directory of this size belongs in a table: see code_table_issues")
 
     def structure_only(self) -> DirectoryValidator:
         return replace(self, structure=True, code_list=False)
@@ -120,7 +152,7 @@ class DirectoryValidator:
     def code_list_only(self) -> DirectoryValidator:
         return replace(self, structure=False, code_list=True)
 
-    def with_code_list_rules(self, rules: dict[str, str]) -> DirectoryValidator:
+    def with_code_list_rules(self, rules: dict[str, CodeRule]) -> DirectoryValidator:
         return replace(self, code_rules=dict(rules))
 
     def enforce_known_tags(self, on: bool = True) -> DirectoryValidator:
@@ -151,11 +183,11 @@ class DirectoryValidator:
                     checks.append(F.when(parts.isNotNull() & (size != expected), error("E013", tag=d.tag, element_index=at, actual=size, expected=expected, offset=start)))
                 if self.extra_rule is not None:
                     checks.append(self.extra_rule(seg))
-            if self.code_list and d.tag in self.code_rules:
-                name = self.code_rules[d.tag]
-                value = F.get(F.get(seg["elements"], F.lit(0))["components"], F.lit(0))
-                if name in self.codes:
-                    checks.append(F.when((value != "") & ~value.isin(*self.codes[name]), error("E014", tag=d.tag, element_index=0, value=value, code_list=name, offset=start)))
+            if self.code_list:
+                for element, component, name in places(self.code_rules.get(d.tag, ())):
+                    value = F.get(F.get(seg["elements"], F.lit(element))["components"], F.lit(component))
+                    if name in self.codes:
+                        checks.append(F.when((value != "") & ~value.isin(*self.codes[name]), error("E014", tag=d.tag, element_index=element, value=value, code_list=name, offset=start)))
             if checks:
                 kinds.append((d.tag, F.coalesce(*checks)))
         out = None
@@ -168,19 +200,23 @@ class DirectoryValidator:
             out = F.when(unknown, own) if out is None else out.when(unknown, own)
         return no_error() if out is None else out.otherwise(no_error())
 
+    def _suggestion(self, err: Column) -> Column | None:
+        """The hint of a code's data element, or of the value itself, which the error's message quotes."""
+        out = None
+        for name, own in self.suggestions.items():
+            mine = (err["code"] == "E014") & err["message"].endswith(f"(code list {name})")
+            if isinstance(own, str):
+                hint_ = F.lit(own)
+            else:
+                hint_ = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.regexp_extract(err["message"], r"(?s): '(.*)' is not a valid code ", 1)]
+            out = F.when(mine, hint_) if out is None else out.when(mine, hint_)
+        return out
+
     def issues(self, segments: Column, message_type: Column, spans: bool) -> Column:
         """Array of issues of a message: segments in order, then what is missing, then what is out of order."""
-        suggestion = None
-        if self.suggestions:
-            by_tag = {t: self.suggestions[d] for t, d in self.code_rules.items() if d in self.suggestions}
-            suggestion = F.create_map(*[x for t, s in by_tag.items() for x in (F.lit(t), F.lit(s))]) if by_tag else None
-
-        def of(seg: Column) -> Column:
-            err = self.segment_error(seg, spans)
-            own = None if suggestion is None else F.when(err["code"] == "E014", suggestion[seg["tag"]])
-            return F.when(err.isNotNull(), issue_of(err, own))
-
-        parts = [F.filter(F.transform(segments, of), lambda x: x.isNotNull())]
+        # Each segment's error is worked out once; what follows reads the struct.
+        errs = F.filter(F.transform(segments, lambda s: self.segment_error(s, spans)), lambda e: e.isNotNull())
+        parts = [F.transform(errs, lambda e: issue_of(e, self._suggestion(e)))]
         if self.structure:
             kind = F.lit(self.message_type) if self.message_type is not None else message_type
             tags = F.transform(segments, lambda s: s["tag"])

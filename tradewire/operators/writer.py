@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from tradewire.functions.syntax import DEFAULT, ServiceChars, decimal_text, escape
 
 
-def as_text(value: Column, kind: str = "string", chars: ServiceChars = DEFAULT) -> Column:
-    """One escaped component: null is empty, numbers without exponent, booleans as true or false."""
-    plain = decimal_text(value) if kind in ("double", "float") or kind.startswith("decimal") else value.cast("string")
+def as_text(value: Column, kind: str | None = None, chars: ServiceChars = DEFAULT) -> Column:
+    """One escaped component: null is empty, numbers without exponent, booleans as true or false.
+
+    ``kind``: the value's type where it is known; else Spark's own, which is a constant of the plan.
+    """
+    if kind is None:
+        plain = F.when(F.typeof(value).rlike("^(double|float|decimal)"), decimal_text(value)).otherwise(value.cast("string"))
+    else:
+        plain = decimal_text(value) if kind in ("double", "float") or kind.startswith("decimal") else value.cast("string")
     return escape(F.coalesce(plain, F.lit("")), chars)
 
 

@@ -128,7 +128,7 @@ def qualifier_glob(spark, sf_dir):
 
 @query("SELECT l_orderkey AS order_key, 0 AS message_no, 'ORDERS' AS message_type, 5 + 3 * count(*) AS n_segments FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def message_segment_count(spark, sf_dir):
-    out = Wn.messages(explode_segments(_orders(spark, sf_dir)))
+    out = Wn.messages(_orders(spark, sf_dir))
     return out.select(_key("order_key"), "message_no", "message_type", F.size("segments").cast("long").alias("n_segments"))
 
 
@@ -137,7 +137,7 @@ def messages_per_customer(spark, sf_dir):
     """Interchanges with several messages each."""
     rows = B.header_messages(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "content"))).alias("m"))
     rows = rows.select(F.col("o_custkey").cast("string").alias("interchange_id"), F.array_join(F.transform("m", lambda x: x["content"]), "").alias("content"))
-    out = Wn.messages(explode_segments(parse(rows, chars=DEFAULT)))
+    out = Wn.messages(parse(rows, chars=DEFAULT))
     return out.select(_key("customer"), F.col("message_no").cast("long").alias("message_no"), "message_ref")
 
 
@@ -154,17 +154,18 @@ def envelope_count_mismatch(spark, sf_dir):
 
 @query("SELECT DISTINCT l_orderkey AS order_key, CASE WHEN l_orderkey % 7 = 0 THEN 'E001' ELSE 'ok' END AS outcome FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
 def message_windows_truncated(spark, sf_dir):
-    segs = explode_segments(parse(B.order_messages(spark, sf_dir, drop_unt=F.col("o_orderkey") % 7 == 0), chars=DEFAULT))
-    good = Wn.messages(segs).select(_key("order_key"), F.lit("ok").alias("outcome"))
-    return good.unionByName(Wn.window_errors(segs).select(_key("order_key"), F.col("error.code").alias("outcome")))
+    rows = Wn.windowed(parse(B.order_messages(spark, sf_dir, drop_unt=F.col("o_orderkey") % 7 == 0), chars=DEFAULT))
+    good = F.transform("messages", lambda _: F.lit("ok"))
+    bad = F.filter(F.array(F.col("window_error.error.code")), lambda c: c.isNotNull())
+    return rows.select(_key("order_key"), F.explode(F.concat(good, bad)).alias("outcome"))
 
 
-def _event_segments(spark, sf_dir):
+def _event_lines(spark, sf_dir):
     e = B.table(spark, sf_dir, "events")
     line = Wr.segment_text("EVT", [F.col("event_type"), F.col("event_id")])
     rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("x"))
     body = F.array_join(F.transform("x", lambda x: x["line"]), "")
-    return explode_segments(parse(rows.select(F.col("user_id").cast("string").alias("interchange_id"), body.alias("content")), chars=DEFAULT))
+    return parse(rows.select(F.col("user_id").cast("string").alias("interchange_id"), body.alias("content")), chars=DEFAULT)
 
 
 ISLANDS = """WITH a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
@@ -173,13 +174,13 @@ b AS (SELECT user_id, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS
 
 @query(ISLANDS + " SELECT user_id, count(*) AS n_segments, count(DISTINCT island) AS n_runs FROM b GROUP BY 1")
 def contiguous_line_groups(spark, sf_dir):
-    r = Wn.runs(_event_segments(spark, sf_dir), "EVT", "click")
+    r = Wn.runs(explode_segments(_event_lines(spark, sf_dir)), "EVT", "click")
     return r.groupBy("interchange_id").agg(F.count("*").alias("n_segments"), (F.max("run") + 1).cast("long").alias("n_runs")).select(_key("user_id"), "n_segments", "n_runs")
 
 
 @query(ISLANDS + " SELECT u.user_id, coalesce(n, 0) <= 1 AS contiguous FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, count(DISTINCT island) AS n FROM b GROUP BY 1) c ON u.user_id = c.user_id")
 def groups_are_contiguous(spark, sf_dir):
-    return Wn.contiguous(_event_segments(spark, sf_dir), "EVT", "click").select(_key("user_id"), "contiguous")
+    return Wn.contiguous(_event_lines(spark, sf_dir), "EVT", "click").select(_key("user_id"), "contiguous")
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(text, '?', '??'), '+', '?+'), ':', '?:'), '''', '?''') AS escaped FROM documents")
