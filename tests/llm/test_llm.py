@@ -281,24 +281,46 @@ def test_decontamination(spark, empty):
     assert decontam.matches(empty, bench).count() == 0 and decontam.matches(df, bench.limit(0)).count() == 0
 
 
-def test_lines(spark, hostile, empty):
-    rows = [(2, "a b c d e\nkeep this\nA  b c d e", "a", "s"), (1, "x\na b c d e", "a", "s"), (3, None, "a", "s"), (4, "one two three four five\n", "a", "s"), (5, "ONE two three four five", "a", "s"), (5, "ONE two three four five", "a", "s")]
-    got = collections.defaultdict(list)
-    for r in linededup.dedup(table(spark, rows)).collect():
-        got[r.doc_id].append((r.kept_text, [tuple(x) for x in r.removed]))
-        for a, b in r.removed:
-            assert linededup._BLANKS.sub(" ", r.text[a:b]).count(" ") >= 4
-    assert got[1] == [("x\na b c d e", [])] and got[2] == [("keep this", [(0, 9), (20, 30)])]
-    assert got[3] == [("", [])] and got[4][0][1] == [] and [x[0] for x in got[5]] == ["", ""]
-    assert linededup.dedup(hostile[0]).count() == 13 and linededup.dedup(empty).count() == 0
-    assert linededup.dedup(table(spark, [(1, "a b c d e\n\nf", "a", "s"), (2, "g\n \na b c d e", "a", "s")]), unit="paragraph").where("kept_text = 'g'").count() == 1
-
-
-def test_short_lines_go_too(spark):
-    blob = "重复的一行没有空格" * 20
-    rows = [(1, f"All rights reserved.\n\n{blob}\nown", "a", "s"), (2, f"start\n\n \nall  rights RESERVED.\n{blob}", "a", "s"), (3, "other\n\nown\n", "a", "s")]
-    got = {r.doc_id: (r.kept_text, r.n_units, len(r.removed)) for r in linededup.dedup(table(spark, rows)).collect()}
-    assert got == {1: (rows[0][1], 4, 0), 2: ("start\n\n ", 5, 2), 3: ("other\n\n", 4, 1)}
+def lines_by_hand(rows, unit, least):
+    """(doc_id, kept text) of each row, by the definition: rows rank by id, nulls first, then by their order."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
+    seen, out = set(), [None] * len(rows)
+    for i in order:
+        t = rows[i][1] or ""
+        mine = [(a, b, n) for a, b, n in linededup.units(t, unit) if n]
+        again = []
+        for *_, n in mine:
+            again.append(n in seen)
+            seen.add(n)
+        gone, k = [], 0
+        while k < len(mine):
+            j = k
+            while j < len(mine) and again[j]:
+                j += 1
+            if sum(linededup.n_words(n) for *_, n in mine[k:j]) >= least:
+                gone += mine[k:j]
+            k = max(j, k + 1)
+        out[i] = (rows[i][0], linededup.cut(t, [(a, b) for a, b, _ in gone], unit) if gone else t, len(mine), [(a, b) for a, b, _ in gone])
+    return out
+
+
+@pytest.mark.parametrize("unit,least", [("line", 1), ("sentence", 12), ("paragraph", 1)])
+def test_lines_by_hand(spark, hostile, empty, unit, least):
+    rng = random.Random(3)
+    say = ["One two three four five.", "Six seven.", "a b c d e f g h i j k l m", "All rights reserved.", "x" * 200, "重复的一行没有空格" * 9, "", "  "]
+    rows = [(i, "".join(rng.choice(say) + rng.choice(["\n", " ", "\n\n"]) for _ in range(rng.randint(0, 7))) + f"own {i}", "a", "s") for i in range(60)]
+    rows += [(7, rows[7][1], "a", "s"), (None, rows[9][1], "a", "s"), (80, None, "a", "s"), (81, "", "a", "s")]
+    for df, rs in ((table(spark, rows).coalesce(1), rows), (hostile[0].coalesce(1), hostile[1])):
+        got = [(r.doc_id, r.kept_text, r.n_units, [tuple(x) for x in r.removed]) for r in linededup.dedup(df, unit=unit, least_words=least).collect()]
+        assert sorted(got, key=repr) == sorted(lines_by_hand(rs, unit, least), key=repr)
+    assert linededup.dedup(empty, unit=unit).count() == 0
+
+
+def test_passages_are_cut_and_short_lines_stay(spark):
+    long_ = " ".join(f"Sentence {i} says a few more words again." for i in range(9))
+    rows = [(1, f"All rights reserved.\n{long_}", "a", "s"), (2, f"Own words first. {long_} And then more.\nAll rights reserved.", "a", "s")]
+    got = {r.doc_id: r.kept_text for r in linededup.dedup(table(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "Own words first. And then more.\nAll rights reserved."}
 
 
 def test_shards(spark, hostile, empty):

@@ -1,10 +1,16 @@
 """Substring dedup by line or paragraph hashing.
 
-Texts are cut into units (lines, or paragraphs between blank lines); a unit's normal form (lower
-case, runs of blanks as one) is hashed to 128 bits. Digests are grouped over the whole corpus; the
-occurrence that comes first by (document id, place) stays and all others go. Blank units always
-stay; ``min_words`` above 1 also keeps units of fewer blank-separated words. Offsets are code points
-of the original text.
+Texts are cut into units (lines, paragraphs between blank lines, or the sentences of lines); a unit's
+normal form (lower case, runs of blanks as one) is hashed to 128 bits. Digests are grouped over the
+whole corpus; the occurrence that comes first by (document id, text, place) stays, all others are repeats.
+Repeats go in passages: neighbouring repeats of one document, blank units between them not counted,
+that reach ``least_words`` words together. A repeated unit that is long by itself is a passage; a short one
+alone (a licence line, a common phrase) stays. With ``least_words=1`` every repeat goes. In scripts
+without spaces, and in runs without blanks such as base64, each ``WORD`` characters count as a word. Offsets are
+code points of the original text.
+
+Every unit's digest is counted. A bitmap of the digests that occur twice spares the others the second
+shuffle, and only texts that lose a passage are moved.
 
 Defined cases: a null text is the empty text; of repeated rows the first keeps its units and the
 others lose them, as any two documents with equal ids; null ids rank first; an empty table gives
@@ -22,75 +28,128 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import blocks, scratch, texts
+from tradewire.llm.common import Bitmap, blocks, discard, parted, scratch, texts
 
-UNITS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
+_BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*"), "sentence": re.compile(r"\n|(?<=[.!?。！？])[ \t]+|(?<=[。！？])")}
 _BLANKS = re.compile(r"[ \t\r\f\v\n]+")
+#: So many characters without a blank count as a word more.
+WORD = 10
+UNIT = "uid long, h1 long, h2 long, at int, words int, start int, end int"
 
 
 def units(text: str, unit: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, normal form) of each unit, without its separator."""
     at = 0
-    for m in UNITS[unit].finditer(text):
+    for m in _BREAK[unit].finditer(text):
         yield at, m.start(), _BLANKS.sub(" ", text[at : m.start()]).strip(" ").lower()
         at = m.end()
     yield at, len(text), _BLANKS.sub(" ", text[at:]).strip(" ").lower()
 
 
+def n_words(norm: str) -> int:
+    """Words between blanks; long ones count by their characters."""
+    return max(norm.count(" ") + 1, sum(1 + (len(w) - 1) // WORD for w in norm.split(" ")) if len(norm) > 2 * WORD * (norm.count(" ") + 1) else 0)
+
+
 def cut(text: str, spans: list[tuple[int, int]], unit: str) -> str:
     """The text without the spans, each with the separator after it (before it, at the end)."""
     out, at = [], 0
     for a, b in spans:
-        m = UNITS[unit].match(text, b)
+        m = _BREAK[unit].match(text, b)
         out.append(text[at:a])
         at = m.end() if m else b
         if not m and b == len(text):  # the last unit takes the separator before it
             kept = "".join(out)
-            tail = [x for x in UNITS[unit].finditer(kept) if x.end() == len(kept)]
+            tail = [x for x in _BREAK[unit].finditer(kept) if x.end() == len(kept)]
             out = [kept[: tail[-1].start()] if tail else kept]
     out.append(text[at:])
     return "".join(out)
 
 
-def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 1) -> DataFrame:
-    """(doc_id, text, kept_text, n_units, removed) of each row; removed: array of (start, end)."""
-    docs = scratch(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("uid", F.monotonically_increasing_id()))
+def passages(found: list[dict], least_words: int) -> list[tuple[int, int]]:
+    """The spans of the repeated units, given by place, whose neighbours make a passage of ``least_words``."""
+    out: list[tuple[int, int]] = []
+    run: list[dict] = []
+    for x in [*sorted(found, key=lambda x: x["at"]), None]:
+        if run and (x is None or x["at"] != run[-1]["at"] + 1):
+            if sum(y["words"] for y in run) >= least_words:
+                out += [(y["start"], y["end"]) for y in run]
+            run = []
+        if x is not None:
+            run.append(x)
+    return out
+
+
+def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = 40) -> DataFrame:
+    """(doc_id, kept_text, n_units, removed) of each row; n_units: the units that are not blank; removed: array of (start, end)."""
+    docs = scratch(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"uid": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text")}))
     kind = dict(docs.dtypes)["doc_id"]
 
+    def digests(t: str) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+        rows, digest = [], []
+        for a, b, norm in units(t, unit):
+            if norm:
+                rows.append((len(rows), n_words(norm), a, b))
+                digest.append(xxhash.xxh128_digest(norm.encode("utf-8", "surrogatepass")))
+        return rows, np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            row, start, end, digest = [], [], [], []
-            for i, t in enumerate(texts(block, "text")):
-                for a, b, norm in units(t, unit):
-                    if norm and norm.count(" ") + 1 >= min_words:
-                        row.append(i)
-                        start.append(a)
-                        end.append(b)
-                        digest.append(xxhash.xxh128_digest(norm.encode("utf-8", "surrogatepass")))
-            both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([block.column("uid").take(at), block.column("doc_id").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["uid", "doc_id", "start", "end", "h1", "h2"])
-
-    found = scratch(docs.mapInArrow(hashed, f"uid long, doc_id {kind}, start int, end int, h1 long, h2 long"))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
-    removed = later.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    both = docs.join(removed, "uid", "left")
+            each = [digests(t)[1] for t in texts(block, "text")]
+            both = np.concatenate(each)
+            at = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            place = np.concatenate([np.arange(len(x)) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), block.column("doc_id").take(at), block.column("uid").take(at), pa.array(place.astype(np.int32))], names=["h1", "h2", "doc_id", "uid", "at"])
+
+    found = docs.select("doc_id", "uid", "text").mapInArrow(hashed, f"h1 long, h2 long, doc_id {kind}, uid long, at int")
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "uid", "at")).alias("first")
+    twice = scratch(found.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.uid").alias("first_uid"), F.col("first.at").alias("first_at")))
+    marks = docs.sparkSession.sparkContext.broadcast(Bitmap(twice, "h1"))  # 32 MB at most
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            uid, rows, kept = [], [], []
+            for u, t in zip(block.column("uid").to_pylist(), texts(block, "text"), strict=True):
+                mine, both = digests(t)
+                hit = np.flatnonzero(marks.value.holds(both[:, 0].view(np.uint64))).tolist() if mine else []
+                uid += [u] * len(hit)
+                rows += [mine[i] for i in hit]
+                kept.append(both[hit])
+            both = np.concatenate(kept)
+            at, words, start, end = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), *[pa.array(x, pa.int32()) for x in (at, words, start, end)]], names=[x.split()[0] for x in UNIT.split(", ")])
+
+    # Both sides are plain exchanges, so that Spark can split the partition of a hot digest.
+    later = docs.select("uid", "text").mapInArrow(again, UNIT).join(twice, ["h1", "h2"]).where((F.col("uid") != F.col("first_uid")) | (F.col("at") != F.col("first_at")))
+    mine = later.groupBy("uid").agg(F.collect_list(F.struct("at", "words", "start", "end")).alias("repeats"))
+    pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [passages(x, least_words) for x in batch.column("repeats").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pair)], names=["uid", "removed"])
+
+    spans = "removed array<struct<start: int, end: int>>"
+    losses = scratch(mine.mapInArrow(chosen, f"uid long, {spans}").where(F.size("removed") > 0).withColumn("mark", F.xxhash64("uid")))
+    discard(twice)
+    some, rest = parted(docs.select("uid", "doc_id", "text", F.xxhash64("uid").alias("mark")), "mark", Bitmap(losses, "mark"), "text")
+    some = some.join(losses.drop("mark"), "uid", "left").select("doc_id", "text", "removed")
+    rest = rest.select("doc_id", "text", F.lit(None).cast("array<struct<start: int, end: int>>").alias("removed"))
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             body = texts(block, "text")
             spans = [[(s["start"], s["end"]) for s in x or ()] for x in block.column("removed").to_pylist()]
-            size = [sum(1 for _ in UNITS[unit].finditer(t)) + 1 for t in body]
             out = [cut(t, s, unit) if s else t for t, s in zip(body, spans, strict=True)]
-            pairs = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), pa.array(out, pa.string()), pa.array(size, pa.int64()), pairs], names=["doc_id", "text", "kept_text", "n_units", "removed"])
+            n = [sum(1 for *_, norm in units(t, unit) if norm) for t in body]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pair)], names=["doc_id", "kept_text", "n_units", "removed"])
 
-    return both.mapInArrow(kept, f"doc_id {kind}, text string, kept_text string, n_units long, removed array<struct<start: int, end: int>>")
+    schema = f"doc_id {kind}, kept_text string, n_units long, {spans}"
+    return some.mapInArrow(kept, schema).unionByName(rest.mapInArrow(kept, schema))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """Repeated lines that are not blank, removed from all documents but the first that holds them."""
+    """Repeated passages of 40 words or more, removed from all documents but the first that holds them."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
