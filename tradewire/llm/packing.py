@@ -40,36 +40,49 @@ class Encoder:
 
     A file of the plain byte-level kind (no normaliser, no prefix space, merges in the order of
     their ids) is the same vocabulary as a table of ranks, which ``tiktoken`` encodes several times
-    faster; any other file, and texts that hold an added token, go to ``tokenizers`` itself. Nothing
-    is remembered between texts.
+    faster; any other file, and texts that hold an added token, go to ``tokenizers`` itself, which is
+    loaded for the first of them. Nothing is remembered between texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        added = self.tok.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
-        self.fast = _ranked(path, set(self.special))
-        shown = {i: self.tok.decode([i], skip_special_tokens=False) for i in range(self.tok.get_vocab_size())}
-        self.closes = np.array([bool(x.strip()) and x.rstrip()[-1] in ".!?。！？" for x in shown.values()])
-        self.breaks = np.array(["\n" in x for x in shown.values()])
-        self.opens = np.array([x[:1].isspace() for x in shown.values()])
+        import tiktoken
+
+        self.path, self.slow = path, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file.get("added_tokens") or ()]
+        ranks = _ranks(file, set(self.special))
+        if ranks is None:
+            self.fast = None
+            tok = self._tokenizer()
+            shown = {i: tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())}
+        else:
+            self.fast = tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            shown = {t["id"]: t["content"] for t in file.get("added_tokens") or ()} | {i: b.decode("utf-8", "replace") for b, i in ranks.items()}
+        size = max(shown) + 1
+        self.closes, self.breaks, self.opens = (np.zeros(size, bool) for _ in range(3))
+        for i, x in shown.items():
+            self.closes[i] = x.rstrip()[-1:] in tuple(".!?。！？")
+            self.breaks[i] = "\n" in x
+            self.opens[i] = x[:1].isspace()
+
+    def _tokenizer(self):
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
-            ids = self.tok.encode(text, add_special_tokens=False).ids
+            ids = self._tokenizer().encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
         return np.frombuffer(array("I", ids), np.uint32)
 
 
-def _ranked(path: str, special: set[str]):
+def _ranks(file: dict, special: set[str]) -> dict[bytes, int] | None:
     """The file's vocabulary as ranks of byte strings, or None if it is of another kind."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        file = json.load(f)
     model, split = file["model"], file.get("pre_tokenizer") or {}
     plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
     if not plain or file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
@@ -80,8 +93,7 @@ def _ranked(path: str, special: set[str]):
     letters = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
     if None in merged or merged != sorted(merged) or not all(c in letters for t in vocabulary for c in t):
         return None
-    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
-    return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    return {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
 
 
 def cuts(ends: np.ndarray, sentences: np.ndarray, size: int, sentence_cost: float, inside_cost: float, sequence_cost: float) -> list[int]:
