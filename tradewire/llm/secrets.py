@@ -128,17 +128,19 @@ def redact(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reposit
     opens = F.coalesce(F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
     found = found.withColumn("island", F.sum(opens.cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
     found = found.groupBy("doc_id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    hashed = df.withColumn("__own", F.xxhash64(body))
-    both = hashed.join(found, hashed[doc_id].eqNullSafe(found["__id"]) & (hashed["__own"] == found["__hash"]), "left")
+    found = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(doc_id).alias("its_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("its_hash"))
+    # One plan at every size: what is found grows with the input, so it is never sent out whole.
+    both = rows.join(found.hint("merge"), rows["its_id"].eqNullSafe(found["doc_id"]) & (rows["its_hash"] == found["text_hash"]), "left")
+    body = F.col("row")[text]
     done = F.aggregate(
-        "__spans",
+        "spans",
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.struct(F.concat(a["text"], F.col(text).substr(a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("text"), s["end"].cast("long").alias("at")),
-        lambda a: F.concat(a["text"], F.col(text).substr(a["at"].cast("int") + 1, F.length(text))),
+        lambda a, s: F.struct(F.concat(a["text"], body.substr(a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("text"), s["end"].cast("long").alias("at")),
+        lambda a: F.concat(a["text"], body.substr(a["at"].cast("int") + 1, F.length(body))),
     )
-    return both.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(done)).select(*df.columns)
+    masked = F.when(F.col("spans").isNull(), body).otherwise(done)
+    return both.select(*[masked.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
