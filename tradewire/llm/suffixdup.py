@@ -1,7 +1,7 @@
 """Removal of byte strings of ``least`` bytes or more that occur more than once in the corpus.
 
 1. Every window of ``least`` bytes owns the ``GRAM``-byte string of least hash in it; equal
-   windows own equal strings. Hashes met more than once are marked in a bitmap of fixed size.
+   windows own equal strings. Hashes met more than once are marked in a bitmap of bounded size.
 2. Each marked place gives a span: the bytes of the windows that own it. Equal spans become one;
    a span met twice repeats as a whole.
 3. Spans of one hash meet in one cell. A cell too large for a task is split by the windows'
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import MIX1, STEP, Bitmap, blocks, mix64, scratch
+from tradewire.llm.common import MIX1, STEP, Bitmap, blocks, mix64, parted, scratch
 
 GRAM = 96  # 64 + 32
 PIECE = 4_000_000
@@ -97,10 +97,15 @@ def shared_windows(spans: list[bytes], least: int) -> list[np.ndarray]:
     text[:] = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8)
     text += len(spans)
     text[ends - 1] = np.arange(len(spans))  # each end is a symbol of its own
-    # Suffix order by prefix doubling, up to ``least`` symbols or until all differ.
-    _, rank = _ranks(text)
-    size = 1
-    order = np.argsort(rank, kind="stable")
+    # Suffix order by prefix doubling from as many symbols as a key holds, up to ``least`` symbols or until all differ.
+    base, size = len(spans) + 257, 1
+    while size < 4 and base ** (2 * size) < 1 << 62:
+        size *= 2
+    padded = np.append(text + 1, np.zeros(size, np.int64))
+    key = padded[:n].copy()
+    for k in range(1, size):
+        key = key * base + padded[k : n + k]
+    order, rank = _ranks(key)
     while size < least and rank[order[-1]] < n - 1:
         key = rank * (n + 1)
         key[:-size] += rank[size:] + 1
@@ -145,7 +150,7 @@ def shared_windows(spans: list[bytes], least: int) -> list[np.ndarray]:
 
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys have equal ranks, in whatever order
     ordered = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -188,7 +193,7 @@ def _split(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("key", "s1", "s2", "lo", "hi", "owned", "bytes").mapInArrow(run, "p1 long, p2 long, shift int, " + SPAN)
 
 
-def _in_cells(rows: DataFrame, least: int, most: int = 1_500_000) -> DataFrame:
+def _in_cells(rows: DataFrame, least: int, most: int = 200_000) -> DataFrame:
     """(s1, s2, runs) for the spans that share windows; rows come with all spans of a key in one task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +254,10 @@ def _decide(spans: DataFrame, least: int, cell: int) -> DataFrame:
     return out
 
 
-def repeats(df: DataFrame, *, text: str = "text", least: int = 200, bits: int = 26, cell: int = 1000) -> DataFrame:
+def repeats(df: DataFrame, *, text: str = "text", least: int = 200, bits: int = 28, cell: int = 1000) -> DataFrame:
     """(t1, t2, runs): for each distinct text with repeats, by its hash, the repeated window starts in bytes.
 
-    ``bits``: the bitmap of hashes met twice has 2**bits places, whatever the input; more hashes
+    ``bits``: the bitmap of hashes met twice has 2**bits places at most; more hashes
     make it fuller, which costs work but changes no result.
     """
     spark = df.sparkSession
@@ -304,7 +309,7 @@ def repeats(df: DataFrame, *, text: str = "text", least: int = 200, bits: int =
     return found.select("t1", "t2", F.explode(runs).alias("run")).groupBy("t1", "t2").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
 
-def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 200, bits: int = 26, cell: int = 1000) -> DataFrame:
+def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 200, bits: int = 28, cell: int = 1000) -> DataFrame:
     """(doc_id, n_bytes, removed, kept) of each row; removed: array of (start, end) in bytes, kept: the bytes left."""
     found = scratch(repeats(df, text=text, least=least, bits=bits, cell=cell))
     kind = dict(df.dtypes)[doc_id]
@@ -316,7 +321,10 @@ def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: i
             t1, t2 = _digests(raw)
             yield pa.RecordBatch.from_arrays([*batch.columns, t1, t2], names=["doc_id", "raw", "t1", "t2"])
 
-    both = rows.mapInArrow(named, f"doc_id {kind}, raw binary, t1 long, t2 long").join(found, ["t1", "t2"], "left").select("doc_id", "raw", "runs")
+    # Only texts whose hash is marked meet their runs; the others hold no repeat and are not moved.
+    some, rest = parted(rows.mapInArrow(named, f"doc_id {kind}, raw binary, t1 long, t2 long"), "t1", Bitmap(found, "t1"), "raw")
+    some = some.join(found, ["t1", "t2"], "left").select("doc_id", "raw", "runs")
+    rest = rest.select("doc_id", "raw", F.lit(None).cast("array<struct<a: bigint, b: bigint>>").alias("runs"))
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -339,7 +347,8 @@ def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: i
                 size.append(len(raw))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), pa.array(spans, pair), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return both.mapInArrow(remove, f"doc_id {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    schema = f"doc_id {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
+    return some.mapInArrow(remove, schema).unionByName(rest.mapInArrow(remove, schema))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
