@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import MIX1, STEP, Bitmap, blocks, mix64, parted, scratch
+from tradewire.llm.common import MIX1, STEP, Bitmap, blocks, discard, mix64, parted, scratch
 
 GRAM = 96  # 64 + 32
 PIECE = 4_000_000
@@ -268,8 +268,9 @@ def repeats(df: DataFrame, *, text: str = "text", least: int = 200, bits: int =
             h = [owners(p, least)[0] for raw in _raw(block, "raw") for _, p in pieces(raw, least)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
 
-    twice = body.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    twice = scratch(body.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     shared = spark.sparkContext.broadcast(Bitmap(twice, "h", bits))
+    discard(twice)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -300,9 +301,9 @@ def repeats(df: DataFrame, *, text: str = "text", least: int = 200, bits: int =
             )
 
     places = scratch(body.mapInArrow(cut, "t1 long, t2 long, start long, key long, owned int, s1 long, s2 long, bytes binary"))
-    times = places.groupBy("s1", "s2", "key").agg(F.count("*").alias("n"), F.min("owned").alias("owned"))
-    spelt = places.where("bytes is not null").select("s1", "s2", "bytes").groupBy("s1", "s2").agg(F.first("bytes").alias("bytes"))
-    spans = scratch(times.join(spelt, ["s1", "s2"]).withColumns({"lo": F.lit(0), "hi": F.lit(least - GRAM)}))
+    # Equal spans own equal strings, so the key follows from the span and one aggregation does.
+    spans = places.groupBy("s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.min("owned").alias("owned"), F.max("bytes").alias("bytes"))
+    spans = scratch(spans.withColumns({"lo": F.lit(0), "hi": F.lit(least - GRAM)}))
     found = _decide(spans, least, cell)
     found = places.select("t1", "t2", "start", "s1", "s2").distinct().join(found, ["s1", "s2"])
     runs = F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
