@@ -52,6 +52,7 @@ def scratch(df: DataFrame) -> DataFrame:
     The table goes when it is discarded, or else when the driver's interpreter exits.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_root(spark)}/tradewire-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
@@ -69,6 +70,18 @@ def _drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Let Arrow batches hold at most ``most`` rows in this session; never raises the setting.
+
+    A batch of 10,000 documents takes over 100 MB outside the heap of each task; texts are what is
+    sent here, so the default suits none of the operators.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column's decimal text, modulo ``n`` (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
@@ -182,6 +195,7 @@ class Bitmap:
 
 def parted(rows: DataFrame, hash_column: str, marks: Bitmap, size_of: str) -> tuple[DataFrame, DataFrame]:
     """The rows whose hash is marked, and the others: a join with what was marked need not move these."""
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(marks)  # 32 MB at most
 
     def chosen(want: bool):

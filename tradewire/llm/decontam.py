@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tradewire.llm.common import STEP, blocks, discard, mix64, scratch, texts, words
+from tradewire.llm.common import STEP, blocks, discard, mix64, scratch, small_batches, texts, words
 
 def tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
     """(start in item, start in doc, length) of the greedy tiling. Negative words in ``doc`` match nothing."""
@@ -152,6 +152,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, least: int, block
 
 def _hits(df: DataFrame, items: Items, schema: T.StructType, threshold: float) -> tuple[DataFrame, Broadcast]:
     """(doc_id, …) of ``df`` (doc_id, text) with one block of items, and the block as it was sent out."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes of text
     arrow = to_arrow_schema(schema)
 
@@ -210,6 +211,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, text: str = "text", it
 
 
 def _clean(df: DataFrame, text: str, items: Items, threshold: float) -> tuple[DataFrame, Broadcast]:
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes of text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

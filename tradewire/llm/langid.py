@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewire.llm.common import blocks, crc_mod, texts, with_fields
+from tradewire.llm.common import blocks, crc_mod, small_batches, texts, with_fields
 
 UNKNOWN = "und"
 CHUNK = 1_000_000
@@ -143,6 +143,7 @@ class LanguageModel:
 
     def transform(self, df: DataFrame, text: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
         """All rows and columns of ``df`` and the two new columns (an existing column of such a name is replaced)."""
+        small_batches(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self)  # d x k weights: bounded by bits and labels
         rest = df.drop(label_out, score_out)
         schema = with_fields(rest.schema, T.StructField(label_out, T.StringType()), T.StructField(score_out, T.DoubleType()))
@@ -158,6 +159,7 @@ class LanguageModel:
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", *, max_train_docs: int = 4000, bits: int = 15, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> LanguageModel:
     """Learn from the rows of ``df`` with a label. ``max_train_docs`` bounds the rows whose vectors reach the driver."""
+    small_batches(df.sparkSession)
     rows = df.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     # Copies have one hash and count once in the sample, so that no large group of them fills it.
     rows = rows.withColumn("hash", F.xxhash64("text"))

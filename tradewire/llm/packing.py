@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewire.llm.common import blocks, distinct, texts
+from tradewire.llm.common import blocks, distinct, small_batches, texts
 
 END = 1
 #: Fixed value: how byte-level vocabularies cut texts into words.
@@ -160,6 +160,7 @@ def pack(
 
     ``tokenizer`` is the path of a byte-level BPE file that executors can read.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
     if ids_too:
