@@ -19,6 +19,13 @@ def counts(issues: DataFrame, *by: str) -> DataFrame:
     return issues.groupBy(*by).agg(*n, F.count("*").alias("total_issues"), (F.count_if(F.col("severity").isin("critical", "error")) == 0).alias("is_valid"))
 
 
+def counts_of_all(messages: DataFrame, issues: DataFrame, *by: str) -> DataFrame:
+    """``counts`` with a row for each of ``messages``: one without issues has none and is valid."""
+    found = messages.select(*by).join(counts(issues, *by), list(by), "left")
+    zero = {n: F.coalesce(n, F.lit(0)) for n in (*(name for name, *_ in BUCKETS), "total_issues")}
+    return found.withColumns(zero | {"is_valid": F.coalesce("is_valid", F.lit(True))})
+
+
 def in_order(issues: DataFrame, *by: str) -> DataFrame:
     """All issues: errors, then warnings, then infos, as added."""
     return issues.orderBy(*by, bucket(), "ordinal")

@@ -276,6 +276,10 @@ class RulePack:
 LAYERS = ("structure", "code_list", "profile")
 
 
+def _in_layer(issues: Column, layer: str) -> Column:
+    return F.transform(issues, lambda i: F.struct(F.lit(layer).alias("layer"), i.alias("issue")))
+
+
 @dataclass(frozen=True)
 class ValidationContext:
     """Validators in the order they were added, each in a layer that can be switched off."""
@@ -311,7 +315,7 @@ class ValidationContext:
             own = v.with_message_type(self.message_type) if isinstance(v, DirectoryValidator) else v
             kind = F.get(F.get(F.get(F.filter("segments", lambda s: s["tag"] == "UNH"), F.lit(0))["elements"], F.lit(1))["components"], F.lit(0))
             got = own.issues(F.col("segments"), F.nullif(kind, F.lit("")), spans) if hasattr(own, "issues") else own(F.col("segments"))
-            parts.append(F.transform(got, lambda i, name=layer: F.struct(F.lit(name).alias("layer"), i.alias("issue"))))
+            parts.append(_in_layer(got, layer))
         if not parts:
             parts = [F.array().cast(T.ArrayType(T.StructType([T.StructField("layer", T.StringType()), T.StructField("issue", ISSUE)])))]
         rows = messages.select(*keep, F.posexplode(F.concat(*parts)).alias("ordinal", "__x"))

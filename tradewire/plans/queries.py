@@ -450,3 +450,6 @@ def envelope_errors(spark, sf_dir):
     msg = F.concat(B.head(key), B.trailer(F.lit(2), key))
     body = F.concat(F.when(k == 0, "").otherwise(unb), msg, F.when(k == 5, "DTM+1'").otherwise(""), F.when(k == 1, "").otherwise(unz))
     return envelopes(parse(o.select(key.cast("string").alias("interchange_id"), body.alias("content")), chars=DEFAULT)).select(_key("order_key"), F.col("error.code").alias("code"))
+
+
+from tradewire.plans import checks  # noqa: E402, F401  registers its queries
