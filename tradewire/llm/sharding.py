@@ -47,9 +47,11 @@ def assign(df: DataFrame, limit: int, *, key: str = "doc_id", text: str = "text"
         at = at.withColumn("shard", F.expr("substring(cell, 1, depth)"))
         sums = at.groupBy("depth", "shard").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n"))
         fits = (F.col("n_bytes") <= limit) | (F.col("n") == 1) | (F.col("depth") == 2 * BITS)
-        fitting = at.drop("n_bytes", "n").join(sums.where(fits), ["depth", "shard"])
+        # Only the first step's cells have a bound, 2**step; the later ones grow with the data.
+        sent = "broadcast" if done == 0 and step <= 12 else "merge"
+        fitting = at.drop("n_bytes", "n").join(sums.where(fits).hint(sent), ["depth", "shard"])
         bucket = scratch(fitting.groupBy("cell").agg(F.min("depth").alias("depth")))
-        placed = active.withColumn("cell", _prefix(done + step)).join(bucket, "cell", "left")
+        placed = active.withColumn("cell", _prefix(done + step)).join(bucket.hint(sent), "cell", "left")
         placed = scratch(placed.drop("cell"))
         some = placed.where(F.col("depth").isNotNull()).select("key", "n_bytes", F.expr("substring(path, 1, depth)").alias("shard"), F.col("depth").cast("long").alias("depth"))
         out = some if out is None else out.unionByName(some)
