@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -36,6 +37,11 @@ class ServiceChars:
 DEFAULT = ServiceChars()
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: within a lambda nothing else shares it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def service_chars(content: Column, named: Column | None = None) -> Column:
     """Struct of the five characters that hold for the text; ``named``: whether it begins with a header."""
     named = content.startswith("UNA") & (F.octet_length(content) >= 9) if named is None else named
@@ -95,16 +101,25 @@ def glob(value: Column, pattern: str) -> Column:
 
 def decimal_text(value: Column) -> Column:
     """Numbers of any size in the fewest digits, without an exponent and without a fraction of zero, as emitters write them."""
-    s = value.cast("string")
-    strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    parts = F.split(s, "E")
-    sign = F.when(s.startswith("-"), "-").otherwise("")
-    digits = F.rtrim(F.regexp_replace(F.element_at(parts, 1), "[-.]", ""), F.lit("0"))
-    point = F.try_element_at(parts, F.lit(2)).try_cast("int") + 1  # Java writes one digit before the point
-    n = F.length(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
-    large = F.concat(digits, F.repeat(F.lit("0"), point - n))
-    inner = F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
-    long_ = F.concat(sign, F.when(point <= 0, small).when(point >= n, large).otherwise(inner))
-    special = F.when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").when(s == "NaN", "NaN")
-    return F.when(special.isNotNull(), special).when(s.contains("E"), long_).otherwise(F.when(s.contains("."), strip(s)).otherwise(s))
+
+    def plain(s: Column) -> Column:
+        special = F.when(s == "Infinity", "inf").when(s == "-Infinity", "-inf")
+        long_ = F.when(s.contains("E"), held(F.split(s, "E"), lambda p: held(_digits(s, p), spread)))
+        return F.coalesce(long_, special, F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s))
+
+    def spread(d: Column) -> Column:
+        digits, point = d["digits"], d["point"]
+        n = F.length(digits)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+        large = F.concat(digits, F.repeat(F.lit("0"), point - n))
+        inner = F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
+        return F.concat(d["sign"], F.when(point <= 0, small).when(point >= n, large).otherwise(inner))
+
+    return held(value.cast("string"), plain)
+
+
+def _digits(s: Column, parts: Column) -> Column:
+    """Sign, digits and place of the point of a number with an exponent."""
+    digits = F.rtrim(F.translate(F.get(parts, F.lit(0)), "-.", ""), F.lit("0"))
+    point = F.get(parts, F.lit(1)).try_cast("int") + 1  # Java writes one digit before the point
+    return F.struct(F.when(s.startswith("-"), "-").otherwise("").alias("sign"), digits.alias("digits"), point.alias("point"))
