@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tradewire.functions.syntax import decimal_text
+from tradewire.operators.parse import events, explode_segments, parse
 
 
 def plan(df):
@@ -13,6 +14,17 @@ def two(spark, text="UNH+1+ORDERS'LIN+1'LIN+2'UNT+4+1'"):
     return spark.createDataFrame([("a", text), ("b", "UNH+2+ORDERS'UNT+2+2'")], "interchange_id string, content string")
 
 
+def test_spans_compile_no_pattern_a_segment(spark):
+    p = parse(two(spark, "UNH+1+é:b'FTX+a?+b:c+d'UNT+x'"), spans=True)
+    assert "concat(^[A-Z]{3}" not in plan(p)
+    elements = p.where("interchange_id = 'a'").select(F.explode("segments.elements").alias("e")).collect()
+    assert [[(x.span.start, x.span.end, [(s.start, s.end) for s in x.component_spans], x.components) for x in r.e] for r in elements] == [
+        [(4, 5, [(4, 5)], ["1"]), (6, 10, [(6, 8), (9, 10)], ["é", "b"])],
+        [(15, 21, [(15, 19), (20, 21)], ["a+b", "c"]), (22, 23, [(22, 23)], ["d"])],
+        [(28, 29, [(28, 29)], ["x"])],
+    ]
+
+
 def test_number_text_is_worked_out_once(spark):
     rows = spark.createDataFrame([(x,) for x in (0.0, -1.5, 1e20, -2.5e-7, 1.234e7, float("inf"), float("-inf"), float("nan"), 5e-324, None)], "x double")
     out = rows.select("x", decimal_text(F.col("x")).alias("t"))

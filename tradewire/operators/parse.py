@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewire.errors import EdiError, error, no_error, text
-from tradewire.functions.syntax import DEFAULT, ServiceChars, after_each, quoted, service_chars, service_valid, unescape, up_to_each
+from tradewire.functions.syntax import DEFAULT, ServiceChars, after_each, held, quoted, service_chars, service_valid, unescape, up_to_each
 
 MAX_SEGMENT_BYTES = 65_536
 BLANKS = " \t\r\n"
@@ -39,9 +39,18 @@ def free_names(df: DataFrame, *names: str) -> dict[str, str]:
     return {n: lead + n for n in names}
 
 
+ACTIVE = ("component", "element", "release", "terminator")
+
+
 def _fields(chars: ServiceChars | Column) -> dict[str, Column | str]:
-    names = ("component", "element", "release", "terminator")
-    return {n: getattr(chars, n) if isinstance(chars, ServiceChars) else chars[n] for n in names}
+    """The active characters by name, and under ``quoted_`` and ``live_`` their patterns: worked out once a row where the text names them."""
+    if not isinstance(chars, ServiceChars):
+        return {f"{k}{n}": chars[f"{k}{n}"] for n in ACTIVE for k in ("", "quoted_", "live_") if k != "live_" or n != "release"}
+    return _patterned({n: getattr(chars, n) for n in ACTIVE})
+
+
+def _patterned(c: dict) -> dict:
+    return c | {f"quoted_{n}": quoted(c[n]) for n in ACTIVE} | {f"live_{n}": after_each(c[n], c["release"]) for n in ("component", "element")} | {"live_terminator": up_to_each(c["terminator"], c["release"])}
 
 
 def _lit(x: Column | str) -> Column:
@@ -54,18 +63,18 @@ def _ltrim(x: Column) -> Column:
 
 def _element_texts(body: Column, c: dict, plain: bool) -> Column:
     """The element texts of a segment without its terminator; it still has the tag."""
-    quick = F.slice(F.split(body, quoted(c["element"]), -1), 2, REST)
+    quick = F.slice(F.split(body, c["quoted_element"], -1), 2, REST)
     if plain:
         return quick
-    slow = F.regexp_extract_all(F.substring(body, 4, REST), after_each(c["element"], c["release"]), F.lit(1))
+    slow = F.regexp_extract_all(F.substring(body, 4, REST), c["live_element"], F.lit(1))
     return F.when(body.contains(_lit(c["release"])), slow).otherwise(quick)
 
 
 def _component_texts(element: Column, c: dict, plain: bool) -> Column:
-    quick = F.split(element, quoted(c["component"]), -1)
+    quick = F.split(element, c["quoted_component"], -1)
     if plain:
         return quick
-    slow = F.regexp_extract_all(F.concat(_lit(c["component"]), element), after_each(c["component"], c["release"]), F.lit(1))
+    slow = F.regexp_extract_all(F.concat(_lit(c["component"]), element), c["live_component"], F.lit(1))
     return F.when(element.contains(_lit(c["release"])), slow).otherwise(quick)
 
 
@@ -85,7 +94,35 @@ def _bytes(x: Column, utf8: bool) -> Column:
 
 def _starts(texts: Column, first: Column, utf8: bool) -> Column:
     """Where each text begins, if one separator stands between them. Within one segment, whose size is bounded."""
-    return F.transform(texts, lambda _, i: F.aggregate(F.slice(texts, F.lit(1), i), first, lambda a, t: a + _bytes(t, utf8) + 1))
+    none = F.struct(F.array().cast("array<bigint>").alias("before"), first.cast("long").alias("at"))
+    add = lambda a, t: F.struct(F.concat(a["before"], F.array(a["at"])).alias("before"), (a["at"] + _bytes(t, utf8) + 1).alias("at"))
+    return F.aggregate(texts, none, add, lambda a: a["before"])
+
+
+def _quick_spans(body: Column, start: Column, c: dict, plain: bool, utf8: bool) -> Column:
+    """The elements with spans of a segment without release characters: ends are the sizes of what precedes a separator."""
+    part = lambda text, separator, k: _bytes(F.call_function("substring_index", text, _lit(separator), k), utf8).cast("long")
+
+    def one(e: Column, i: Column) -> Column:
+        end = start + part(body, c["element"], i + 2)
+        own = lambda p, k: F.struct((end - _bytes(e, utf8) + part(e, c["component"], k + 1) - _bytes(p, utf8)).alias("start"), (end - _bytes(e, utf8) + part(e, c["component"], k + 1)).alias("end"))
+        p = F.split(e, c["quoted_component"], -1)
+        return F.struct(F.struct((end - _bytes(e, utf8)).alias("start"), end.alias("end")).alias("span"), (p if plain and utf8 else _values(p, c, utf8)).alias("components"), F.transform(p, own).alias("component_spans"))
+
+    return F.transform(_element_texts(body, c, True), one)
+
+
+def _folded_spans(elements: Column, start: Column, c: dict, utf8: bool) -> Column:
+    """The same of a segment with release characters: starts are running sums of sizes."""
+
+    def zipped(texts: Column, first: Column) -> Column:
+        return F.arrays_zip(texts.alias("t"), _starts(texts, first, utf8).alias("a"))
+
+    def one(pair: Column) -> Column:
+        spans = lambda p: F.transform(zipped(p, pair["a"]), lambda x: _span(x["a"], _bytes(x["t"], utf8)))
+        return held(_component_texts(pair["t"], c, False), lambda p: F.struct(_span(pair["a"], _bytes(pair["t"], utf8)).alias("span"), _values(p, c, utf8).alias("components"), spans(p).alias("component_spans")))
+
+    return F.transform(held(elements, lambda t: zipped(t, start)), one)
 
 
 def segment_struct(body: Column, seq: Column, c: dict, *, plain: bool = False, utf8: bool = True, start: Column | None = None, end: Column | None = None) -> Column:
@@ -97,12 +134,8 @@ def segment_struct(body: Column, seq: Column, c: dict, *, plain: bool = False, u
     if start is None or end is None:
         return F.struct(*head, F.transform(elements, lambda e: F.struct(values(parts(e)).alias("components"))).alias("elements"))
 
-    def one(pair: Column) -> Column:
-        p = parts(pair["t"])
-        places = F.arrays_zip(p.alias("p"), _starts(p, pair["a"], utf8).alias("a"))
-        return F.struct(_span(pair["a"], _bytes(pair["t"], utf8)).alias("span"), values(p).alias("components"), F.transform(places, lambda x: _span(x["a"], _bytes(x["p"], utf8))).alias("component_spans"))
-
-    made = F.transform(F.arrays_zip(elements.alias("t"), _starts(elements, start.cast("long") + 4, utf8).alias("a")), one)
+    quick = _quick_spans(body, start.cast("long"), c, plain, utf8)
+    made = quick if plain else F.when(body.contains(_lit(c["release"])), _folded_spans(elements, start.cast("long") + 4, c, utf8)).otherwise(quick)
     return F.struct(*head, F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")).alias("span"), _span(start, F.lit(3)).alias("tag_span"), made.alias("elements"))
 
 
@@ -146,7 +179,7 @@ def parse(
         raise ValueError("unterminated: error or accept; mode: PERMISSIVE, DROPMALFORMED or FAILFAST")
     if isinstance(chars, ServiceChars) and not chars.valid():
         raise EdiError("E007", text("E007"))
-    name = free_names(df, "utf8", "text", "una", "total", "chars", "plain", "raws", "used", "tail", "bodies", "trimmed", "starts", "bad", "kept", "made")
+    name = free_names(df, "utf8", "text", "una", "total", "named", "chars", "bad_una", "plain", "raws", "used", "tail", "bodies", "blank", "trimmed", "starts", "bad", "kept", "made")
     col = {k: F.col(v) for k, v in name.items()}
     raw = F.col(content)
     as_text = raw.cast("string")
@@ -157,17 +190,20 @@ def parse(
     rows = rows.withColumns({name["total"]: size(col["text"]), name["text"]: _ltrim(col["text"])})
     rows = rows.withColumn(name["una"], col["text"].startswith("UNA") & (size(col["text"]) >= 9))
     bad_una: Column = F.lit(False)
-    held: ServiceChars | Column = chars or DEFAULT
+    service_of: ServiceChars | Column = chars or DEFAULT
     if chars is None:
-        rows = rows.withColumn(name["chars"], service_chars(col["text"], col["una"]))
-        held = col["chars"]
-        bad_una = ~service_valid(held)
-    c = _fields(held)
+        rows = rows.withColumn(name["named"], service_chars(col["text"], col["una"]))
+        patterns = _patterned({n: col["named"][n] for n in ACTIVE})
+        rows = rows.withColumn(name["chars"], F.struct(f"{name['named']}.*", *[v.alias(k) for k, v in patterns.items() if k not in ACTIVE]))
+        rows = rows.withColumn(name["bad_una"], ~service_valid(col["named"]))
+        service_of = col["chars"]
+        bad_una = col["bad_una"]
+    c = _fields(service_of)
     rows = rows.withColumn(name["text"], F.when(col["una"], _ltrim(F.substring(col["text"], 10, REST))).otherwise(col["text"]))
     head = col["total"] - size(col["text"])
     release = _lit(c["release"])
     rows = rows.withColumn(name["plain"], ~col["text"].contains(release))
-    rows = rows.withColumn(name["raws"], F.when(col["plain"], F.split(col["text"], quoted(c["terminator"]), -1)).otherwise(F.regexp_extract_all(col["text"], up_to_each(c["terminator"], c["release"]), F.lit(1))))
+    rows = rows.withColumn(name["raws"], F.when(col["plain"], F.split(col["text"], c["quoted_terminator"], -1)).otherwise(F.regexp_extract_all(col["text"], c["live_terminator"], F.lit(1))))
     rows = rows.withColumn(name["used"], F.when(~col["plain"], F.aggregate(col["raws"], F.lit(0), lambda a, r: a + F.length(r) + 1)))
 
     # What follows the last terminator.
@@ -187,13 +223,13 @@ def parse(
     blank = F.lit(False)
     for b in BLANKS:
         blank = blank | col["text"].contains(F.concat(_lit(c["terminator"]), F.lit(b)))
-    rows = rows.withColumn(name["trimmed"], F.when(blank, F.transform(col["bodies"], _ltrim)).otherwise(col["bodies"]))
+    rows = rows.withColumn(name["blank"], blank)
+    rows = rows.withColumn(name["trimmed"], F.when(col["blank"], F.transform(col["bodies"], _ltrim)).otherwise(col["bodies"]))
     if spans:
         rows = rows.withColumn(name["starts"], _running(F.transform(col["bodies"], lambda b: (size(b) + 1).cast("long")), head.cast("long")))
 
     # The first segment that breaks a rule.
-    good_tag = _tag_pattern(c)
-    wrong_tag = lambda b: ~F.rlike(b, good_tag)
+    wrong_tag = lambda b: ~_good_tag(b, c)
     too_long = lambda b: size(b) + 1 > max_segment_bytes
     not_text = lambda b: ~F.is_valid_utf8(F.encode(b, "ISO-8859-1").cast("string"))
     wrong = lambda b: wrong_tag(b) | too_long(b) | (~utf8 & not_text(b))
@@ -212,8 +248,8 @@ def parse(
     first = F.when(bad_una, error("E007")).when(col["bad"] > 0, first).otherwise(last)
     cut = lambda x: F.when(bad_una, F.slice(x, 1, 0)).when(col["bad"] > 0, F.slice(x, F.lit(1), at)).otherwise(x)
     if spans:
-        pairs = F.arrays_zip(col["trimmed"].alias("b"), col["bodies"].alias("r"), col["starts"].alias("a"))
-        placed = F.transform(pairs, lambda p: F.struct(p["b"].alias("b"), (p["a"] + size(p["r"]) - size(p["b"])).alias("a")))
+        blanks = lambda b, i: F.when(col["blank"], size(F.get(col["bodies"], i)) - size(b)).otherwise(0)
+        placed = F.transform(col["trimmed"], lambda b, i: F.struct(b.alias("b"), (F.get(col["starts"], i) + blanks(b, i)).alias("a")))
         rows = rows.withColumn(name["kept"], cut(placed))
     else:
         rows = rows.withColumn(name["kept"], cut(col["trimmed"]))
@@ -233,7 +269,7 @@ def parse(
         segments = F.when(first.isNotNull(), failed.cast(_segments_type(spans))).otherwise(segments)
     made = [segments.alias("segments"), first.alias("error")]
     if service:
-        own_chars = held if isinstance(held, Column) else F.struct(*[F.lit(getattr(held, n)).alias(n) for n in ("component", "element", "decimal", "release", "terminator")], F.lit(True).alias("named"))
+        own_chars = col["named"] if isinstance(service_of, Column) else F.struct(*[F.lit(getattr(service_of, n)).alias(n) for n in ("component", "element", "decimal", "release", "terminator")], F.lit(True).alias("named"))
         made.append(own_chars.alias("service"))
     keep = [F.col(f"`{x}`") for x in df.columns if x != content]
     out = rows.select(*keep, F.explode_outer(F.array(F.struct(*made))).alias(name["made"])).select(*keep, f"{name['made']}.*")
@@ -247,15 +283,28 @@ def _segments_type(spans: bool) -> str:
     return "array<struct<seq:bigint,tag:string,elements:array<struct<components:array<string>>>>>"
 
 
-def _tag_pattern(c: dict) -> Column:
-    """Three capital letters, then an element separator or the end."""
-    e = quoted(c["element"])
-    return F.lit(rf"^[A-Z]{{3}}(?:{e}|\z)") if isinstance(e, str) else F.concat(F.lit("^[A-Z]{3}(?:"), e, F.lit(r"|\z)"))
+def _good_tag(body: Column, c: dict) -> Column:
+    """Three capital letters, then an element separator or the end; the pattern is fixed, so that it is compiled once."""
+    e = c["quoted_element"]
+    if isinstance(e, str):
+        return F.rlike(body, F.lit(rf"^[A-Z]{{3}}(?:{e}|\z)"))
+    after = F.substring(body, 4, 1)
+    return F.rlike(F.substring(body, 1, 3), F.lit(r"^[A-Z]{3}\z")) & ((after == c["element"]) | (after == ""))
 
 
 def _before(body: Column, c: dict) -> Column:
     """The tag: what stands before the first element separator, or all."""
-    return F.element_at(F.split(body, quoted(c["element"]), -1), 1)
+    return F.element_at(F.split(body, c["quoted_element"], -1), 1)
+
+
+def exploded(rows: DataFrame, *keep: Column | str, of: Column | str, name: str) -> DataFrame:
+    """A row for each entry of ``of``, an array.
+
+    A plain ``explode`` makes Catalyst infer a filter on the array's size, which it pushes below the projections
+    that made the array, with all of them put into each other: the work of a row then grows as a power of its length.
+    """
+    at = free_names(rows, "at")["at"]
+    return rows.select(*keep, F.posexplode_outer(of).alias(at, name)).where(F.col(at).isNotNull()).drop(at)
 
 
 def explode_segments(parsed: DataFrame) -> DataFrame:
