@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tradewire.functions.syntax import decimal_text
+from tradewire.operators import windows as Wn
 from tradewire.operators.parse import events, explode_segments, parse
 
 
@@ -25,6 +26,12 @@ def test_spans_compile_no_pattern_a_segment(spark):
     ]
 
 
+def test_windows_are_cut_once_a_row(spark):
+    p = Wn.messages(parse(two(spark)))
+    assert plan(p).count("= UNT") <= 3
+    assert sorted((r.interchange_id, r.message_no, r.message_ref) for r in p.collect()) == [("a", 0, "1"), ("b", 0, "2")]
+
+
 def test_number_text_is_worked_out_once(spark):
     rows = spark.createDataFrame([(x,) for x in (0.0, -1.5, 1e20, -2.5e-7, 1.234e7, float("inf"), float("-inf"), float("nan"), 5e-324, None)], "x double")
     out = rows.select("x", decimal_text(F.col("x")).alias("t"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tradewire.errors import EdiError, error, hint, no_error, severity, text
 from tradewire.functions.access import trimmed_size
+from tradewire.operators.parse import exploded
 
 ISSUE = T.StructType(
     [
@@ -100,7 +101,7 @@ def code_table_issues(messages: DataFrame, codes: DataFrame, rules: dict[str, Co
         found = [F.when(seg["tag"] == tag, F.struct(F.lit(e).alias("element"), F.lit(name).alias("data_element"), F.get(F.get(seg["elements"], F.lit(e))["components"], F.lit(c)).alias("value"), seg["tag"].alias("tag"), (seg["span"]["start"] if spans else F.lit(None).cast("long")).alias("at"))) for tag, e, c, name in every]
         return F.filter(F.array(*found), lambda x: F.coalesce(x["value"], F.lit("")) != "")
 
-    checked = messages.select(F.struct(*keep).alias("row"), F.explode(F.flatten(F.transform("segments", of))).alias("x")).select("row", "x.*")
+    checked = exploded(messages, F.struct(*keep).alias("row"), of=F.flatten(F.transform("segments", of)), name="x").select("row", "x.*")
     listed = codes.select("data_element").distinct()
     unknown = checked.join(listed, "data_element", "left_semi").join(codes.select("data_element", F.col("code").alias("value")), ["data_element", "value"], "left_anti")
     hints = suggestions.select("data_element", F.col("code").alias("value"), "suggestion") if suggestions is not None else None
@@ -318,7 +319,7 @@ class ValidationContext:
             parts.append(_in_layer(got, layer))
         if not parts:
             parts = [F.array().cast(T.ArrayType(T.StructType([T.StructField("layer", T.StringType()), T.StructField("issue", ISSUE)])))]
-        rows = messages.select(*keep, F.posexplode(F.concat(*parts)).alias("ordinal", "__x"))
+        rows = messages.select(*keep, F.posexplode_outer(F.concat(*parts)).alias("ordinal", "__x")).where(F.col("ordinal").isNotNull())  # see exploded
         return rows.select(*keep, "ordinal", "__x.layer", "__x.issue.*")
 
     def validate_strict(self, messages: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tradewire.errors import error
 from tradewire.functions.access import segment_matches
-from tradewire.operators.parse import free_names
+from tradewire.operators.parse import exploded, free_names
 
 
 def gathered(segments: DataFrame, key: str = "interchange_id") -> DataFrame:
@@ -61,7 +61,7 @@ def window_errors(parsed: DataFrame, key: str = "interchange_id") -> DataFrame:
 
 def messages(parsed: DataFrame, key: str = "interchange_id") -> DataFrame:
     """A row for each whole window: key, message_no, message_ref, message_type and its segments in order."""
-    rows = windowed(parsed).select(key, F.explode("messages").alias("m")).select(key, "m.message_no", "m.segments")
+    rows = exploded(windowed(parsed), key, of="messages", name="m").select(key, "m.message_no", "m.segments")
     return with_heads(rows)
 
 

@@ -42,7 +42,7 @@ def header_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, lines): the lines of each order as an array, in order of all their columns."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
 
 
 def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

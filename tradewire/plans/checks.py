@@ -49,7 +49,7 @@ def code_table_violations(spark, sf_dir):
 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS message_no FROM orders""")
 def typed_windows(spark, sf_dir):
     """Interchanges of several messages, each window mapped to a typed struct."""
-    rows = B.header_messages(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "content"))).alias("m"))
+    rows = B.header_messages(spark, sf_dir).groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "content"))).alias("m"))
     rows = rows.select(F.col("o_custkey").cast("string").alias("interchange_id"), F.array_join(F.transform("m", lambda x: x["content"]), "").alias("content"))
     spec = M.Message((M.Part("start", M.Segment("BGM", (M.Field("number", 1, 0, type="long", required=True),)), required=True), M.Part("dated", M.Segment("DTM", (M.Field("ordered", 0, 1, type="date", required=True),), qualifier="137"), required=True)))
     out = M.map_messages(Wn.messages(parse(rows, chars=DEFAULT)), spec)

@@ -15,7 +15,7 @@ from tradewire.operators import validate as V
 from tradewire.operators import windows as Wn
 from tradewire.operators import writer as Wr
 from tradewire.operators.envelope import envelopes
-from tradewire.operators.parse import events, explode_segments, parse, tokens
+from tradewire.operators.parse import events, explode_segments, exploded, parse, tokens
 from tradewire.plans import build as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,7 +104,7 @@ def nad_qualified_buyer(spark, sf_dir):
 @query("SELECT DISTINCT l_orderkey AS order_key, l_suppkey AS supplier FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
 def nad_qualified_supplier(spark, sf_dir):
     suppliers = F.array_distinct(A.map_all(_segs(), "NAD", lambda s: A.component(s, 1).cast("long"), "SU"))
-    return _orders(spark, sf_dir).select(_key("order_key"), F.explode(suppliers).alias("supplier"))
+    return exploded(_orders(spark, sf_dir), _key("order_key"), of=suppliers, name="supplier")
 
 
 @query("SELECT l_orderkey AS order_key, min(l_linenumber) AS first_line FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
@@ -135,7 +135,7 @@ def message_segment_count(spark, sf_dir):
 @query("""SELECT o_custkey AS customer, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS message_no, CAST(o_orderkey AS VARCHAR) AS message_ref FROM orders""")
 def messages_per_customer(spark, sf_dir):
     """Interchanges with several messages each."""
-    rows = B.header_messages(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "content"))).alias("m"))
+    rows = B.header_messages(spark, sf_dir).groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "content"))).alias("m"))
     rows = rows.select(F.col("o_custkey").cast("string").alias("interchange_id"), F.array_join(F.transform("m", lambda x: x["content"]), "").alias("content"))
     out = Wn.messages(parse(rows, chars=DEFAULT))
     return out.select(_key("customer"), F.col("message_no").cast("long").alias("message_no"), "message_ref")
@@ -157,13 +157,13 @@ def message_windows_truncated(spark, sf_dir):
     rows = Wn.windowed(parse(B.order_messages(spark, sf_dir, drop_unt=F.col("o_orderkey") % 7 == 0), chars=DEFAULT))
     good = F.transform("messages", lambda _: F.lit("ok"))
     bad = F.filter(F.array(F.col("window_error.error.code")), lambda c: c.isNotNull())
-    return rows.select(_key("order_key"), F.explode(F.concat(good, bad)).alias("outcome"))
+    return exploded(rows, _key("order_key"), of=F.concat(good, bad), name="outcome")
 
 
 def _event_lines(spark, sf_dir):
     e = B.table(spark, sf_dir, "events")
     line = Wr.segment_text("EVT", [F.col("event_type"), F.col("event_id")])
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("x"))
+    rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("x"))
     body = F.array_join(F.transform("x", lambda x: x["line"]), "")
     return parse(rows.select(F.col("user_id").cast("string").alias("interchange_id"), body.alias("content")), chars=DEFAULT)
 
