@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tradewire.functions.syntax import decimal_text
+from tradewire.operators import mapping as M
 from tradewire.operators import windows as Wn
 from tradewire.operators.parse import events, explode_segments, parse
 
@@ -32,6 +33,15 @@ def test_windows_are_cut_once_a_row(spark):
     assert sorted((r.interchange_id, r.message_no, r.message_ref) for r in p.collect()) == [("a", 0, "1"), ("b", 0, "2")]
 
 
+def test_first_match_groups_a_row_an_interchange(spark):
+    p, spec = parse(two(spark)), M.Segment("LIN", (M.Field("line", type="int", required=True),))
+    mine = M.extract_first(p, spec)
+    assert plan(mine).count("Generate") == 1
+    assert sorted(map(repr, mine.collect())) == sorted(map(repr, M.extract_first(explode_segments(p), spec).collect()))
+    twice = M.extract_first(p.union(p), spec).where("interchange_id = 'a'").collect()
+    assert [(r.seq, r.line, r.error) for r in twice] == [(1, 1, None)]
+
+
 def test_number_text_is_worked_out_once(spark):
     rows = spark.createDataFrame([(x,) for x in (0.0, -1.5, 1e20, -2.5e-7, 1.234e7, float("inf"), float("-inf"), float("nan"), 5e-324, None)], "x double")
     out = rows.select("x", decimal_text(F.col("x")).alias("t"))

@@ -196,13 +196,20 @@ def extract_all(segments: DataFrame, spec: Segment) -> DataFrame:
     return segments.where(spec.matches(seg)).select(*keep, spec.read(seg).alias("value")).select(*keep, "value.*")
 
 
-def extract_first(segments: DataFrame, spec: Segment, key: str = "interchange_id") -> DataFrame:
-    """The first match of each key, by ``seq``; a key without one gets E015."""
-    seg = F.struct("tag", "elements")
-    hit = F.when(spec.matches(seg), F.col("seq"))
-    rows = segments.groupBy(key).agg(F.min(hit).alias("seq"), F.min_by(seg, hit).alias("__seg"))
-    mapped = F.when(F.col("seq").isNotNull(), spec.read(F.col("__seg")))
-    rows = rows.withColumn("value", mapped)
+def extract_first(rows: DataFrame, spec: Segment, key: str = "interchange_id") -> DataFrame:
+    """The first match of each key, by ``seq``; a key without one gets E015.
+
+    ``rows``: what ``parse`` gave, of which one small row for each interchange is grouped, or exploded
+    segments, which are all grouped.
+    """
+    if "segments" in rows.columns:
+        found = rows.select(key, find_first(F.col("segments"), spec.tag, spec.qualifier).alias("__seg"))
+    else:
+        seg = F.struct("seq", "tag", "elements")
+        found = rows.select(key, F.when(spec.matches(seg), seg).alias("__seg"))
+    seg = F.col("__seg")
+    found = found.select(key, seg["seq"].alias("seq"), F.when(seg.isNotNull(), spec.read(seg)).alias("value"))
+    rows = found.groupBy(key).agg(F.min("seq").alias("seq"), F.min_by("value", "seq").alias("value"))
     names = [f.name for f in spec.fields]
     missing = F.when(F.col("seq").isNull(), error("E015", tag=spec.tag, expected_position="first match"))
     return rows.select(key, "seq", *[F.col(f"value.{n}") for n in names], F.coalesce(missing, F.col("value.error")).alias("error"))

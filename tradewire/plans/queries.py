@@ -110,14 +110,13 @@ def nad_qualified_supplier(spark, sf_dir):
 @query("SELECT l_orderkey AS order_key, min(l_linenumber) AS first_line FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1")
 def first_line_per_order(spark, sf_dir):
     spec = M.Segment("LIN", (M.Field("line", type="int", required=True),))
-    return M.extract_first(explode_segments(_orders(spark, sf_dir)), spec).select(_key("order_key"), F.col("line").alias("first_line"))
+    return M.extract_first(_orders(spark, sf_dir), spec).select(_key("order_key"), F.col("line").alias("first_line"))
 
 
 @query("SELECT o_orderkey AS order_key, 'E015' AS code FROM orders")
 def first_match_missing(spark, sf_dir):
     spec = M.Segment("MOA", (M.Field("amount", 0, 1),))
-    rows = explode_segments(_heads(spark, sf_dir).select("interchange_id", "segments", "error"))
-    return M.extract_first(rows, spec).select(_key("order_key"), F.col("error.code").alias("code"))
+    return M.extract_first(_heads(spark, sf_dir), spec).select(_key("order_key"), F.col("error.code").alias("code"))
 
 
 @query("SELECT event_id, regexp_full_match(event_type, 'c.*k') AS mid, regexp_full_match(event_type, '.*e.*') AS any_e, event_type = 'view' AS exact FROM events")
