@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tradewire.functions.syntax import decimal_text
 from tradewire.operators import mapping as M
 from tradewire.operators import windows as Wn
+from tradewire.operators import writer as Wr
 from tradewire.operators.parse import events, explode_segments, parse
 
 
@@ -42,6 +43,13 @@ def test_first_match_groups_a_row_an_interchange(spark):
     assert [(r.seq, r.line, r.error) for r in twice] == [(1, 1, None)]
 
 
+def test_a_stream_in_order_is_grouped_as_whole_texts(spark):
+    e = events(explode_segments(parse(two(spark).coalesce(1)))).withColumn("part", F.col("value"))
+    assert Wr._joined(e.select("interchange_id", "seq", "pos", "kind", "part"), "interchange_id").count() == 2
+    for rows in (e, e.orderBy(F.xxhash64("seq", "pos")), e.repartition(7, "pos"), e.withColumn("pos", F.col("pos") * 2)):
+        assert sorted(tuple(r) for r in Wr.from_events(rows).collect()) == [("a", "UNH+1+ORDERS'LIN+1'LIN+2'UNT+4+1'"), ("b", "UNH+2+ORDERS'UNT+2+2'")]
+
+
 def test_number_text_is_worked_out_once(spark):
     rows = spark.createDataFrame([(x,) for x in (0.0, -1.5, 1e20, -2.5e-7, 1.234e7, float("inf"), float("-inf"), float("nan"), 5e-324, None)], "x double")
     out = rows.select("x", decimal_text(F.col("x")).alias("t"))

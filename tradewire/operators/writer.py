@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradewire.functions.syntax import DEFAULT, ServiceChars, decimal_text, escape
 
@@ -13,6 +19,13 @@ def as_text(value: Column, kind: str | None = None, chars: ServiceChars = DEFAUL
 
     ``kind``: the value's type where it is known; else Spark's own, which is a constant of the plan.
     """
+    if kind is None and not any(c.isdigit() or c == "-" for c in (chars.component, chars.element, chars.release, chars.terminator)):
+        whole = F.typeof(value).rlike("^(tinyint|smallint|int|bigint)$")  # digits need no escape
+        return F.when(whole, F.coalesce(value.cast("string"), F.lit(""))).otherwise(_escaped_text(value, kind, chars))
+    return _escaped_text(value, kind, chars)
+
+
+def _escaped_text(value: Column, kind: str | None, chars: ServiceChars) -> Column:
     if kind is None:
         plain = F.when(F.typeof(value).rlike("^(double|float|decimal)"), decimal_text(value)).otherwise(value.cast("string"))
     else:
@@ -56,13 +69,13 @@ def segments_text(segments: Column, chars: ServiceChars = DEFAULT, una: bool = F
 def write_text(segments: DataFrame, key: str = "interchange_id", chars: ServiceChars = DEFAULT, una: bool = False) -> DataFrame:
     """(key, content, n_segments) from exploded segments, in order of ``seq``."""
     line = F.concat("tag", elements_text(F.col("elements"), chars), F.lit(chars.terminator))
-    rows = segments.select(key, "seq", line.alias("line")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))
+    rows = segments.select(key, "seq", line.alias("line")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "")
     return rows.select(key, (F.concat(F.lit(chars.una()), body) if una else body).alias("content"), F.size("lines").cast("long").alias("n_segments"))
 
 
 def from_events(events: DataFrame, key: str = "interchange_id", chars: ServiceChars = DEFAULT) -> DataFrame:
-    """(key, content) from an event stream (key, seq, pos, kind, value)."""
+    """(key, content) from an event stream (key, seq, pos, kind, value), whose places (seq, pos) differ within a key."""
     value = F.coalesce("value", F.lit(""))
     part = (
         F.when(F.col("kind") == "start_segment", value)
@@ -70,5 +83,36 @@ def from_events(events: DataFrame, key: str = "interchange_id", chars: ServiceCh
         .when(F.col("kind") == "component_element", F.concat(F.lit(chars.component), escape(value, chars)))
         .otherwise(F.lit(chars.terminator))
     )
-    rows = events.select(key, "seq", "pos", part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "part"))).alias("parts"))
+    rows = _joined(events.select(key, "seq", "pos", "kind", part.alias("part")), key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "pos", "part"))).alias("parts"))
     return rows.select(key, F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("content"))
+
+
+def _joined(parts: DataFrame, key: str) -> DataFrame:
+    """(key, seq, pos, part) with neighbouring rows as one where nothing can stand between them.
+
+    These are the next place of a segment, and the start of the next segment after the end of one. A stream in
+    order is so grouped as whole texts and not as tokens; any other one as it is.
+    """
+    schema = T.StructType([parts.schema[n] for n in (key, "seq", "pos", "part")])
+    if isinstance(parts.schema[key].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return parts.drop("kind")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, seq, pos, kind, part = batch.columns
+            now, before = slice(1, None), slice(None, -1)
+            number = lambda x: pc.fill_null(x, -9).to_numpy(zero_copy_only=False).astype(np.int64)
+            same = pc.fill_null(pc.equal(keys[now], keys[before]), False).to_numpy(zero_copy_only=False)
+            step, place = np.diff(number(seq)), number(pos)
+            is_kind = lambda x, k: pc.fill_null(pc.equal(x, k), False).to_numpy(zero_copy_only=False)
+            inside = (step == 0) & (np.diff(place) == 1)
+            after = (step == 1) & (place[now] == 0) & is_kind(kind[now], "start_segment") & is_kind(kind[before], "end_segment")
+            first = np.flatnonzero(np.concatenate(([True], ~(same & (inside | after)))))
+            lists = pa.LargeListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int64()), part.cast(pa.large_string()))
+            at = pa.array(first)
+            text = pc.binary_join(lists, pa.scalar("", pa.large_string())).cast(part.type)
+            yield pa.RecordBatch.from_arrays([keys.take(at), seq.take(at), pos.take(at), text], names=[key, "seq", "pos", "part"])
+
+    return parts.mapInArrow(run, schema)
