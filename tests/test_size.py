@@ -55,3 +55,17 @@ def test_number_text_is_worked_out_once(spark):
     out = rows.select("x", decimal_text(F.col("x")).alias("t"))
     assert plan(out).count("split(") == 1
     assert [r.t for r in out.collect()] == ["0", "-1.5", "1" + "0" * 20, "-0.00000025", "12340000", "inf", "-inf", "NaN", "0." + "0" * 323 + "49", None]
+
+
+def test_units_are_counted_without_their_normal_form():
+    import random
+
+    from tradewire.llm.linededup import _BLANKS, _BREAK, n_units, units
+
+    draw = random.Random(3)
+    for _ in range(3000):
+        t = "".join(draw.choice([" ", "\n", "\t", "a", "B。", "!", "?", "\r", "\x0b", "\u3000", "é. ", "\x1c", "\u00a0"]) for _ in range(draw.randrange(12)))
+        for unit in _BREAK:
+            made = list(units(t, unit))
+            assert [n for *_, n in made] == [_BLANKS.sub(" ", t[a:b]).strip(" ").lower() for a, b, _ in made]
+            assert n_units(t, unit) == sum(1 for *_, n in made if n)

@@ -32,6 +32,7 @@ from tradewire.llm.common import Bitmap, blocks, discard, parted, scratch, texts
 
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*"), "sentence": re.compile(r"\n|(?<=[.!?。！？])[ \t]+|(?<=[。！？])")}
 _BLANKS = re.compile(r"[ \t\r\f\v\n]+")
+_UNEVEN = re.compile(r"[\t\r\f\v\n]|  ")  # any blanks but single spaces
 #: So many characters without a blank count as a word more.
 WORD = 10
 UNIT = "uid long, h1 long, h2 long, at int, words int, start int, end int"
@@ -41,9 +42,20 @@ def units(text: str, unit: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, normal form) of each unit, without its separator."""
     at = 0
     for m in _BREAK[unit].finditer(text):
-        yield at, m.start(), _BLANKS.sub(" ", text[at : m.start()]).strip(" ").lower()
-        at = m.end()
-    yield at, len(text), _BLANKS.sub(" ", text[at:]).strip(" ").lower()
+        start, end = m.span()
+        yield at, start, normal(text[at:start])
+        at = end
+    yield at, len(text), normal(text[at:])
+
+
+def normal(text: str) -> str:
+    """Lower case, runs of blanks as one and none at the ends."""
+    return (_BLANKS.sub(" ", text) if _UNEVEN.search(text) else text).strip(" ").lower()
+
+
+def n_units(text: str, unit: str) -> int:
+    """How many units are not blank; this needs no normal form."""
+    return sum(1 for x in _BREAK[unit].split(text) if x.strip(" \t\r\f\v\n"))
 
 
 def n_words(norm: str) -> int:
@@ -141,7 +153,7 @@ def dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: st
             body = texts(block, "text")
             spans = [[(s["start"], s["end"]) for s in x or ()] for x in block.column("removed").to_pylist()]
             out = [cut(t, s, unit) if s else t for t, s in zip(body, spans, strict=True)]
-            n = [sum(1 for *_, norm in units(t, unit) if norm) for t in body]
+            n = [n_units(t, unit) for t in body]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pair)], names=["doc_id", "kept_text", "n_units", "removed"])
 
     schema = f"doc_id {kind}, kept_text string, n_units long, {spans}"
