@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tradewire.functions.syntax import decimal_text
+from tradewire.functions.syntax import DEFAULT, decimal_text
 from tradewire.operators import mapping as M
 from tradewire.operators import windows as Wn
 from tradewire.operators import writer as Wr
@@ -104,3 +104,16 @@ def test_a_passage_does_not_repeat_itself_by_overlap(spark):
     rows = [(1, " ".join(["ha ho hi"] * 13)), (2, " ".join(["tick"] * 79)), (3, "\t".join(["Tack"] * 90))]
     got = {r.doc_id: (r.kept_text, r.n_units) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: (len(t.split()), n) for k, (t, n) in got.items()} == {1: (39, 1), 2: (79, 1), 3: (40, 1)}
+
+
+def test_tags_are_matched_once_a_row(spark):
+    texts = ["UNH+1'ABC'UNT+2+1'", "UNH+1\n2'ABC+'X'", "UNH+1'abC+1'UNT'", "UNH''UNT'", "UNH+1'ABCD+1'", "UNH+1'A+1'UNT", "'", "", "UNH+1'\nABC+2:'\n", "UNH+?'ab'UNT'"]
+    rows = [(f"{i}{una[:1]}", una + (t if not una else t.translate(str.maketrans("+:?'", "!|~#")))) for i, t in enumerate(texts) for una in ("", "UNA|!.~ #")]
+    df = spark.createDataFrame(rows, "interchange_id string, content string")
+    want = [None, "E006", "E006", "E002", "E006", "E006", "E002", None, None, None]
+    for unterminated in ("error", "accept"):
+        p = parse(df, unterminated=unterminated)
+        got = {r.interchange_id: (r.error.code if r.error else None, [(s.tag, [e.components for e in s.elements]) for s in r.segments]) for r in p.collect()}
+        assert all(got[f"{i}"][0] == got[f"{i}U"][0] == code for i, code in enumerate(want)), got
+        assert [t for t, _ in got["0"][1]] == ["UNH", "ABC", "UNT"] and got["8"][1][1] == ("ABC", [["2", ""]]) and got["8U"] == got["8"]
+    assert "A(?:[A-Z]{3}(?:" in plan(parse(df, chars=DEFAULT))

@@ -45,12 +45,18 @@ ACTIVE = ("component", "element", "release", "terminator")
 def _fields(chars: ServiceChars | Column) -> dict[str, Column | str]:
     """The active characters by name, and under ``quoted_`` and ``live_`` their patterns: worked out once a row where the text names them."""
     if not isinstance(chars, ServiceChars):
-        return {f"{k}{n}": chars[f"{k}{n}"] for n in ACTIVE for k in ("", "quoted_", "live_") if k != "live_" or n != "release"}
+        return {"good_tags": chars["good_tags"]} | {f"{k}{n}": chars[f"{k}{n}"] for n in ACTIVE for k in ("", "quoted_", "live_") if k != "live_" or n != "release"}
     return _patterned({n: getattr(chars, n) for n in ACTIVE})
 
 
 def _patterned(c: dict) -> dict:
-    return c | {f"quoted_{n}": quoted(c[n]) for n in ACTIVE} | {f"live_{n}": after_each(c[n], c["release"]) for n in ("component", "element")} | {"live_terminator": up_to_each(c["terminator"], c["release"])}
+    return c | {f"quoted_{n}": quoted(c[n]) for n in ACTIVE} | {f"live_{n}": after_each(c[n], c["release"]) for n in ("component", "element")} | {"live_terminator": up_to_each(c["terminator"], c["release"]), "good_tags": _good_tags(quoted(c["element"]), quoted(c["terminator"]))}
+
+
+def _good_tags(element: Column | str, terminator: Column | str) -> Column:
+    """Pattern of a whole text, without release characters and blanks before segments, whose segments all begin with good tags."""
+    e, t = _lit(element), _lit(terminator)
+    return F.concat(F.lit(r"\A(?:[A-Z]{3}(?:"), e, F.lit("[^"), t, F.lit("]*+)?+"), t, F.lit(")*+[^"), t, F.lit(r"]*+\z"))
 
 
 def _lit(x: Column | str) -> Column:
@@ -71,7 +77,7 @@ def _element_texts(body: Column, c: dict, plain: bool) -> Column:
 
 
 def _component_texts(element: Column, c: dict, plain: bool) -> Column:
-    quick = F.split(element, c["quoted_component"], -1)
+    quick = F.when(element.contains(_lit(c["component"])), F.split(element, c["quoted_component"], -1)).otherwise(F.array(element))
     if plain:
         return quick
     slow = F.regexp_extract_all(F.concat(_lit(c["component"]), element), c["live_component"], F.lit(1))
@@ -233,7 +239,9 @@ def parse(
     too_long = lambda b: size(b) + 1 > max_segment_bytes
     not_text = lambda b: ~F.is_valid_utf8(F.encode(b, "ISO-8859-1").cast("string"))
     wrong = lambda b: wrong_tag(b) | too_long(b) | (~utf8 & not_text(b))
-    some = F.exists(col["trimmed"], wrong_tag) | ((col["total"] > max_segment_bytes) & F.exists(col["trimmed"], too_long)) | ~utf8
+    # One match of the whole text spares one a segment.
+    ended = col["plain"] & ~col["blank"] & (F.lit(unterminated == "error") | (rest == ""))
+    some = (~(ended & F.rlike(col["text"], c["good_tags"])) & F.exists(col["trimmed"], wrong_tag)) | ((col["total"] > max_segment_bytes) & F.exists(col["trimmed"], too_long)) | ~utf8
     rows = rows.withColumn(name["bad"], F.when(some, F.coalesce(F.array_position(F.transform(col["trimmed"], wrong), True), F.lit(0))).otherwise(F.lit(0)).cast("int"))
     at = col["bad"] - 1
     body, own = F.get(col["bodies"], at), F.get(col["trimmed"], at)
